@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelake.plans import problems
+from sievelake.plans import problems, search
 
-QUERIES = dict(problems.QUERIES)
-SQL = dict(problems.SQL)
+QUERIES = problems.QUERIES | search.QUERIES
+SQL = problems.SQL | search.SQL
