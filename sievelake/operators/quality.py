@@ -71,7 +71,7 @@ def mmr(candidates: DataFrame, k: int = 10, trade: float = 0.7) -> DataFrame:
 
     kind = candidates.schema["query_id"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).head(50).reset_index(drop=True)
         x = np.array(pdf["vector"].tolist(), float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)

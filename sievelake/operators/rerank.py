@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,7 +58,7 @@ def rerank_remote(results: DataFrame, client: Callable[[str, list[str]], list[tu
     If the client fails, its query gets no rerank scores.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         try:
             got = dict(client(pdf["query"][0], pdf["doc"].tolist()))
@@ -67,6 +67,3 @@ def rerank_remote(results: DataFrame, client: Callable[[str, list[str]], list[tu
         return pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "rerank": [got.get(i) for i in range(len(pdf))]})
 
     return results.groupBy("query_id").applyInPandas(run, f"query_id {results.schema['query_id'].dataType.simpleString()}, id string, rerank double")
-
-
-Batches = Iterator[pd.DataFrame]

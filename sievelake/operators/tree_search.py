@@ -82,7 +82,7 @@ def tree_scores(queries: DataFrame, seeds: DataFrame, children: DataFrame, vecto
     )
     kind = queries.schema["query_id"].dataType.simpleString()
 
-    def run(key, pdf):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return best_first(pdf, cfg).assign(query_id=key[0])[["query_id", "id", "score"]]
 
     return rated.groupBy("query_id").applyInPandas(run, f"query_id {kind}, id string, score double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import scoring, text as tx, vectors as vx
 from sievelake.operators import fulltext, fusion, path_search as ps, quality, rerank as rr, tree_search as ts, vector_search as vs
-from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, sql, top, vectors
+from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors
 from sievelake.session import cut
 from sievelake.sources.tables import table
 
@@ -42,7 +42,7 @@ def vector_topk_scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("SELECT * FROM (SELECT query_id, level, id, score, rank FROM lvec) WHERE rank <= 10", "lvec"))
 def level_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q = cases(spark, sf).select("query_id", "path").join(example_vectors(spark, sf), "query_id")
+    q = located(spark, sf).join(example_vectors(spark, sf), "query_id")
     d = docs(spark, sf, "hierarchy_path")
     return ps.level_hits(ps.level_vector_scores(q, d, vectors(spark, sf), DIM), d, q, K).select("query_id", "level", "id", "score", "rank")
 
@@ -139,7 +139,7 @@ def bm25_scoped(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("SELECT query_id, level, id, score, rank FROM lbm WHERE rank <= 10", "lbm"))
 def bm25_level(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf, "hierarchy_path")
-    return ps.level_hits(_text(spark, sf), d, cases(spark, sf), K).select("query_id", "level", "id", "score", "rank")
+    return ps.level_hits(_text(spark, sf), d, located(spark, sf), K).select("query_id", "level", "id", "score", "rank")
 
 
 @query(sql(top("(SELECT bm.* FROM bm JOIN mem USING (id) WHERE hierarchy_path IS NULL)"), "bm", "mem"))
@@ -189,7 +189,7 @@ def rrf_two_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("SELECT query_id, level, round(weight, 6) AS weight FROM lv", "lv"))
 def path_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return ps.query_levels(cases(spark, sf)).withColumn("weight", F.round("weight", 6))
+    return ps.query_levels(located(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT id, level, row_number() OVER (PARTITION BY id ORDER BY length(level)) AS depth FROM (SELECT DISTINCT id, '/' || array_to_string(p[1:i], '/') AS level FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT id, [x FOR x IN string_split(min(hierarchy_path), '/') IF x <> ''] AS p FROM memories GROUP BY id HAVING min(hierarchy_path) <> '')))")
@@ -199,7 +199,7 @@ def memory_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _level_lists(spark, sf):
-    d, q = docs(spark, sf, "hierarchy_path"), cases(spark, sf).select("query_id", "query", "path")
+    d, q = docs(spark, sf, "hierarchy_path"), located(spark, sf)
     qv = q.join(example_vectors(spark, sf), "query_id")
     return [ps.level_hits(ps.level_vector_scores(qv, d, vectors(spark, sf), DIM), d, qv, 2 * K), ps.level_hits(_text(spark, sf), d, q, 2 * K)]
 
@@ -229,7 +229,7 @@ _PATH = (
 
 @query(sql(_PATH, "lrrf", "vs", "bm", "qv", "mem"))
 def path_search(spark: SparkSession, sf: str) -> DataFrame:
-    q = cases(spark, sf).select("query_id", "query", "path").join(example_vectors(spark, sf), "query_id", "left")
+    q = located(spark, sf).join(example_vectors(spark, sf), "query_id", "left")
     return ps.path_search(q, docs(spark, sf, "text", "hierarchy_path", "importance", "ts"), vectors(spark, sf), DIM, K, NOW)
 
 
@@ -291,7 +291,7 @@ def aggregate_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RR = (
-    f", c AS ({top('bm', 50)}), q AS (SELECT item_id AS query_id, list_distinct({WORDS.format('query')}[-2:]) AS qw FROM eval_cases), "
+    f", c AS ({top('(SELECT query_id, id, round(score, 5) AS score FROM bm)', 50)}), q AS (SELECT item_id AS query_id, list_distinct({WORDS.format('query')}[-2:]) AS qw FROM eval_cases), "
     f"x AS (SELECT c.query_id, c.id, c.score, trim(text) <> '' AS ok, len([t FOR t IN qw IF list_contains({WORDS.format('text')}, t)]) / nullif(len(qw), 0)::DOUBLE AS r FROM c JOIN mem USING (id) JOIN q USING (query_id)), "
     "b AS (SELECT query_id, id, CASE WHEN NOT ok THEN score WHEN r IS NULL THEN score * 0.8e0 ELSE greatest(0.6e0 * r + 0.4e0 * score, 0.5e0 * score) END AS score FROM x) "
 )
@@ -299,7 +299,7 @@ _RR = (
 
 @query(sql(_RR + top("b"), "bm", "mem"))
 def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
-    return rr.rerank(_text(spark, sf).withColumn("score", F.round("score", 6)), cases(spark, sf), docs(spark, sf, "text"))
+    return rr.rerank(_text(spark, sf).withColumn("score", F.round("score", 5)), cases(spark, sf), docs(spark, sf, "text"))
 
 
 @query()

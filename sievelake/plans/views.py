@@ -34,13 +34,22 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("query", F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2), " "))
 
 
-def example_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, vector): of each case, the vector of the first memory that holds its first expected term as a word."""
-    asked = cases(spark, sf).select("query_id", F.lower(F.try_element_at("expected_terms", F.lit(1))).alias("term"))
+def examples(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, id): of each case, the first memory with a vector that holds its first expected term as a word."""
+    asked = table(spark, sf, "eval_cases").select(F.col("item_id").alias("query_id"), F.lower(F.try_element_at("expected_terms", F.lit(1))).alias("term"))
     held = docs(spark, sf, "text").select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(asked, "term")
-    v = vectors(spark, sf)
-    best = held.join(v.select("id"), "id").groupBy("query_id").agg(F.min("id").alias("id"))
-    return best.join(v, "id").select("query_id", "vector")
+    return held.join(vectors(spark, sf).select("id"), "id").groupBy("query_id").agg(F.min("id").alias("id"))
+
+
+def example_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, vector) of the examples."""
+    return examples(spark, sf).join(vectors(spark, sf), "id").select("query_id", "vector")
+
+
+def located(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, query, path): cases asked from where their example lies; without one, from their own path."""
+    at = examples(spark, sf).join(docs(spark, sf, "hierarchy_path"), "id").select("query_id", "hierarchy_path")
+    return cases(spark, sf).join(at, "query_id", "left").select("query_id", "query", F.coalesce("hierarchy_path", "path").alias("path"))
 
 
 WORDS = r"regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '([一-鿿])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
@@ -58,9 +67,11 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "tf": (("w", "qt"), "SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM qt) GROUP BY ALL"),
     "df": (("tf",), "SELECT term, count(*) AS df FROM tf GROUP BY term"),
     "bm": (("qt", "tf", "df", "dl", "sz"), f"SELECT qt.query_id, tf.id, sum({_BM25}) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), sz GROUP BY qt.query_id, tf.id, qt.n_terms HAVING count(*) = qt.n_terms"),
-    "qv": (("mem", "w", "vec"), "SELECT query_id, v FROM (SELECT query_id, min(t.id) AS id FROM (SELECT item_id AS query_id, lower(expected_terms[1]) AS term FROM eval_cases) JOIN (SELECT DISTINCT id, unnest(w) AS term FROM w) t USING (term) JOIN vec ON vec.id = t.id GROUP BY query_id) JOIN vec USING (id)"),
+    "ex": (("w", "vec"), "SELECT query_id, min(t.id) AS id FROM (SELECT item_id AS query_id, lower(expected_terms[1]) AS term FROM eval_cases) JOIN (SELECT DISTINCT id, unnest(w) AS term FROM w) t USING (term) JOIN vec ON vec.id = t.id GROUP BY query_id"),
+    "qv": (("ex", "vec"), "SELECT query_id, v FROM ex JOIN vec USING (id)"),
+    "qp": (("ex", "mem"), "SELECT item_id AS query_id, coalesce(hierarchy_path, path) AS path FROM eval_cases LEFT JOIN ex ON ex.query_id = item_id LEFT JOIN mem ON mem.id = ex.id"),
     "vs": (("qv", "vec", "mem"), "SELECT query_id, vec.id, list_cosine_similarity(qv.v, vec.v) AS score FROM qv, vec JOIN mem ON mem.id = vec.id"),
-    "lv": ((), "SELECT query_id, '/' || array_to_string(p[1:i], '/') AS level, pow(0.8e0, len(p) - i) AS weight FROM (SELECT item_id AS query_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT item_id, [x FOR x IN string_split(path, '/') IF x <> ''] AS p FROM eval_cases WHERE path <> ''))"),
+    "lv": (("qp",), "SELECT query_id, '/' || array_to_string(p[1:i], '/') AS level, pow(0.8e0, len(p) - i) AS weight FROM (SELECT query_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT query_id, [x FOR x IN string_split(path, '/') IF x <> ''] AS p FROM qp WHERE path <> ''))"),
     "lvec": (("lv", "vs", "mem"), "SELECT * FROM (SELECT vs.query_id, level, weight, vs.id, round(vs.score, 6) AS score, row_number() OVER (PARTITION BY vs.query_id, level ORDER BY round(vs.score, 6) DESC, vs.id) AS rank FROM vs JOIN lv USING (query_id) JOIN mem ON mem.id = vs.id WHERE hierarchy_path = level OR starts_with(hierarchy_path, level || '/')) WHERE rank <= 20"),
     "lbm": (("lv", "bm", "mem"), "SELECT * FROM (SELECT bm.query_id, level, weight, bm.id, round(bm.score, 6) AS score, row_number() OVER (PARTITION BY bm.query_id, level ORDER BY round(bm.score, 6) DESC, bm.id) AS rank FROM bm JOIN lv USING (query_id) JOIN mem ON mem.id = bm.id WHERE hierarchy_path = level OR starts_with(hierarchy_path, level || '/')) WHERE rank <= 20"),
     "lrrf": (("lvec", "lbm"), "SELECT query_id, level, weight, id, sum(1e0 / (60 + rank)) AS score FROM (SELECT query_id, level, weight, id, rank FROM lvec UNION ALL SELECT query_id, level, weight, id, rank FROM lbm) GROUP BY ALL"),
