@@ -2,8 +2,8 @@
 
 Every value is mapped to a *form*: width variants, look-alike letters, kinds of space and
 hyphen, invisible characters and ligatures go to one spelling. Forms are then grouped in SQL
-under Spark's accent-sensitive ``UNICODE`` collation, each class gets its smallest form as
-canonical member, and that member is joined back to every value.
+under Spark's accent-sensitive ``UNICODE`` collation, each class gets the form with the
+smallest digest as canonical member, and that member is joined back to every value.
 
 Nulls and empty values stay as they are and belong to no class. Two values whose forms
 differ only in what can be seen (capitals, accents, raised or circled digits, joined
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sievelake.session import materialize
+
 # Letters of other scripts (and Latin variants) that look like a Latin letter.
 LOOKALIKES = {
     "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ",
@@ -94,43 +96,48 @@ def shown_udf(s: pd.Series) -> pd.Series:
     return s.map(shown, na_action="ignore")
 
 
-def values(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field, value, form), one row for each id and field with a value; repeated rows of an id count once."""
-    df = df.select(F.col(id_col).alias("id"), *fields)
+def folded(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, field, value_key, form_key, form) of every row and field with a value, written once.
+
+    Keys are digests of 128 bits: after the grouping nothing longer than a key is shuffled.
+    """
+    df = df.select(F.col(id_col).alias("id"), *fields).filter("id IS NOT NULL")
     long = df.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x")).select("id", "x.field", "x.value")
-    return long.filter(F.length("value") > 0).withColumn("form", form_udf("value"))
+    forms = long.filter(F.length("value") > 0).withColumn("form", form_udf("value"))
+    return materialize(forms.select("id", "field", F.unhex(F.md5("value")).alias("value_key"), F.unhex(F.md5("form")).alias("form_key"), "form"), "forms")
 
 
 def classes(forms: DataFrame) -> DataFrame:
-    """The classes of (field, form): key under the collation, and the smallest form as canonical member."""
+    """(field, class_key, canonical_key, last_key): the classes under the collation, each with the member of the smallest digest as canonical one."""
     return forms.sparkSession.sql(
-        "SELECT field, collate(form, 'UNICODE') AS class_key, min(form) AS canonical FROM {forms} GROUP BY field, collate(form, 'UNICODE')",
-        forms=forms.select("field", "form"),
+        "SELECT field, collate(form, 'UNICODE') AS class_key, min(form_key) AS canonical_key, max(form_key) AS last_key FROM {forms} GROUP BY field, collate(form, 'UNICODE')",
+        forms=forms.select("field", "form", "form_key"),
     )
 
 
-def canonical_values(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field, value, canonical): every value with its class's canonical member joined back."""
-    vals = values(df, id_col, fields)
-    return vals.sparkSession.sql(
-        "SELECT v.id, v.field, v.value, c.canonical FROM {vals} v JOIN {classes} c ON v.field = c.field AND collate(v.form, 'UNICODE') = c.class_key",
-        vals=vals, classes=classes(vals),
-    ).withColumn("canonical", shown_udf("canonical"))
-
-
-def class_members(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field, value_key, class_key) for values whose class holds at least two different strings.
+def with_class(forms: DataFrame) -> DataFrame:
+    """(id, field, value_key, form_key, canonical_key): the canonical member of its class joined back to every value.
 
-    Keys are digests of 128 bits, so that nothing longer is shuffled after the grouping.
+    A class of one form is its own canonical member. Only classes in which the collation
+    brings several forms together have to be joined back by collation; the mapping leaves few.
     """
-    vals = values(df, id_col, fields)
-    tagged = vals.sparkSession.sql(
-        "SELECT v.id, v.field, v.value_key, md5(c.canonical) AS class_key FROM {vals} v JOIN {classes} c ON v.field = c.field AND collate(v.form, 'UNICODE') = c.class_key",
-        vals=vals.select("id", "field", "form", F.md5("value").alias("value_key")), classes=classes(vals),
+    several = materialize(classes(forms).filter("canonical_key <> last_key").select("field", F.col("class_key").cast("string").alias("class_form"), "canonical_key"), "classes")
+    rows = forms.select("id", "field", "value_key", "form_key")
+    if several.isEmpty():
+        return rows.withColumn("canonical_key", F.col("form_key"))
+    back = forms.sparkSession.sql(
+        "SELECT DISTINCT f.field, f.form_key, c.canonical_key FROM {forms} f JOIN {several} c ON f.field = c.field AND collate(f.form, 'UNICODE') = collate(c.class_form, 'UNICODE')",
+        forms=forms.select("field", "form", "form_key"), several=several,
     )
-    # min and max over a class decide whether it has two spellings; both combine before the shuffle
-    mixed = tagged.groupBy("field", "class_key").agg(F.min("value_key").alias("lo"), F.max("value_key").alias("hi")).filter("lo <> hi")
-    return tagged.join(mixed.select("field", "class_key"), ["field", "class_key"], "left_semi").distinct()
+    return rows.join(back, ["field", "form_key"], "left").withColumn("canonical_key", F.coalesce("canonical_key", "form_key"))
+
+
+def canonical_values(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, field, canonical): every value in the one form of its class; repeated rows of an id count once."""
+    forms = folded(df, id_col, fields)
+    texts = forms.groupBy("field", F.col("form_key").alias("canonical_key")).agg(F.min("form").alias("canonical"))
+    found = with_class(forms).select("id", "field", "canonical_key").distinct()
+    return found.join(texts, ["field", "canonical_key"]).select("id", "field", shown_udf("canonical").alias("canonical"))
 
 
 def alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -139,9 +146,12 @@ def alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     Different spellings of a class are paired first and only then expanded to their ids, so
     copies of one spelling are never paired with each other.
     """
-    m = class_members(df, id_col, fields)
-    spell = m.select("field", "class_key", "value_key").distinct()
-    pairs = spell.alias("a").join(spell.alias("b"), ["field", "class_key"]).filter("a.value_key <> b.value_key").select("field", F.col("a.value_key").alias("va"), F.col("b.value_key").alias("vb"))
+    tagged = with_class(folded(df, id_col, fields)).select("id", "field", "value_key", "canonical_key")
+    # min and max over a class decide whether it has two spellings; both combine before the shuffle
+    mixed = tagged.groupBy("field", "canonical_key").agg(F.min("value_key").alias("lo"), F.max("value_key").alias("hi")).filter("lo <> hi")
+    m = materialize(tagged.join(mixed.select("field", "canonical_key"), ["field", "canonical_key"], "left_semi").distinct(), "spellings")
+    spell = m.select("field", "canonical_key", "value_key").distinct()
+    pairs = spell.alias("a").join(spell.alias("b"), ["field", "canonical_key"]).filter("a.value_key <> b.value_key").select("field", F.col("a.value_key").alias("va"), F.col("b.value_key").alias("vb"))
     left = m.select("field", F.col("value_key").alias("va"), F.col("id").alias("id_a"))
     right = m.select("field", F.col("value_key").alias("vb"), F.col("id").alias("id_b"))
     return pairs.join(left, ["field", "va"]).join(right, ["field", "vb"]).filter("id_a < id_b").select("field", "id_a", "id_b").distinct()
