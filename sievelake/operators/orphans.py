@@ -41,8 +41,8 @@ def failing_references(refs: DataFrame, keys: DataFrame, gone: DataFrame) -> Dat
 
     refs: ref_table, ref_id, target_id, ref_ts (whole seconds or null); keys: id, ts; gone: id.
     """
-    refs = refs.filter((F.col("target_id") != "") & F.col("target_id").isNotNull())
-    have = keys.filter("id IS NOT NULL").groupBy("id").agg(F.min("ts").alias("ts")).withColumn("live", F.lit(True))
+    refs = refs.select("ref_table", "ref_id", "target_id", "ref_ts").filter((F.col("target_id") != "") & F.col("target_id").isNotNull())
+    have = keys.select("id", "ts").filter("id IS NOT NULL").groupBy("id").agg(F.min("ts").alias("ts")).withColumn("live", F.lit(True))
     dead = gone.filter("id IS NOT NULL").select("id").distinct().select("id", F.lit(None).cast("bigint").alias("ts"), F.lit(False).alias("live"))
     both = have.unionByName(dead).groupBy("id").agg(F.max("ts").alias("ts"), F.max("live").alias("live"))
     n = keys.count()

@@ -193,7 +193,7 @@ class MemoryStore:
             raise ValueError(f"invalid limit: {limit}")
         if not query and not vector:
             raise ValueError("both query vector and text are empty")
-        q = self.spark.createDataFrame([(1, query, path, vector)], "query_id int, query string, path string, vector array<double>")
+        q = self.spark.createDataFrame([(1, query, path, [float(x) for x in vector] if vector else None)], "query_id int, query string, path string, vector array<double>")
         docs = self.memories().withColumn("ts", F.col("timestamp"))
         allowed = docs.filter(F.col("scope").isin(scopes)) if scopes else docs
         vecs = self.vectors().select(F.col("memory_id").alias("id"), "vector")
