@@ -34,12 +34,12 @@ from sievelake.session import materialize
 
 SKETCH = 1 << 18
 #: Expected length of a signature's list up to which no larger combination is taken.
-LIST_GOAL = 200
+LIST_GOAL = 2000
 MAX_CLASS = 3
 #: Sets below this size index single words only; from it on, each doubling is a regime.
 FIRST_REGIME = 20
-#: Hash groups of the classes 2 and 3 as a share of a regime's least size: 0.1 + 2 * 0.25 = 0.6 units.
-GROUP_SHARES = (0.1, 0.25)
+#: Hash groups of the classes 2 and 3 as a share of a regime's least size: 0.4 + 2 * 0.09 = 0.58 units.
+GROUP_SHARES = (0.4, 0.09)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -79,57 +79,68 @@ def group_counts(r: int) -> list[int]:
     """Numbers of hash groups of the classes 1..MAX_CLASS (from index 1) in regime r.
 
     A group of class k costs k-1 units; all groups together cost less than what any set of
-    the regime's sizes can spare (0.6 of its size), so every prefix can be completed.
+    the regime's sizes can spare (0.58 of its size), so every prefix can be completed.
     """
     least = FIRST_REGIME << (r - 1)
     return [0, 1, *(max(1, int(least * share)) for share in GROUP_SHARES)]
 
 
-def _prefix(mixed: list[int], cls: list[int], need: int, r: int) -> list[np.ndarray]:
-    """Signatures of the shortest prefix whose units reach need, in regime r."""
-    if r == 0:
-        return [_mix(np.array(mixed[:need], np.uint64) * _MIX[0] + np.uint64(1))]
-    groups, members, units = group_counts(r), {}, 0
-    for t, k in zip(mixed, cls):
-        own = members.setdefault((k, t % groups[k]), [])
-        own.append(t)
-        units += len(own) >= k
-        if units >= need:
-            break
-    out = []
-    for k in range(1, MAX_CLASS + 1):
-        combos = [c for (kk, _), own in members.items() if kk == k for c in itertools.combinations(sorted(own), k)]
-        if combos:
-            combos = np.array(combos, np.uint64)
-            h = np.full(len(combos), np.uint64(16 * r + k))
-            for j in range(k):
-                h = _mix(h * _MIX[0] + combos[:, j])
-            out.append(h)
-    return out
-
+def signatures(sets: list[np.ndarray], counts: np.ndarray, classes: np.ndarray, threshold: float, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, signature) of a batch of sets, as the smaller of a pair (short prefix, own regime) or, as probe, the larger.
 
-def signatures(toks: np.ndarray, counts: np.ndarray, classes: np.ndarray, threshold: float, probe: bool) -> np.ndarray:
-    """Signatures of one set as the smaller of a pair (short prefix, own regime) or, as probe, the larger.
-
-    The larger set of a pair may miss n - t*n words, the smaller n - 2t/(1+t)*n. A probe looks in
-    the regimes of all sizes that its smaller partner can have.
+    The larger set of a pair may miss n - t*n words, the smaller n - 2t/(1+t)*n. A prefix ends
+    when its units pass that number. A probe looks in the regimes of all sizes that its smaller
+    partner can have. Signatures have 32 bits: an accidental match is one candidate more.
     """
-    n = len(toks)
-    bucket = np.mod(toks, SKETCH)
-    order = np.lexsort((toks, counts[bucket]))
-    toks, cls = toks[order].astype(np.int64).view(np.uint64), classes[bucket[order]].tolist()
-    least = math.ceil((threshold if probe else 2 * threshold / (1 + threshold)) * n - 1e-9)
-    mixed = _mix(toks).tolist()
-    parts = [h for r in ({regime(n), regime(least)} if probe else {regime(n)}) for h in _prefix(mixed, cls, n - least + 1, r)]
-    return np.unique(np.concatenate(parts)).view(np.int64)
+    sizes = np.array([len(t) for t in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    bucket = np.mod(flat, SKETCH)
+    order = np.lexsort((flat, counts[bucket], of))
+    mixed, cls = _mix(flat[order].astype(np.int64).view(np.uint64)).tolist(), classes[bucket[order]].tolist()
+    share = threshold if probe else 2 * threshold / (1 + threshold)
+    made: list[tuple[list, list]] = [([], []) for _ in range(MAX_CLASS + 1)]  # by class: owner and seed, words
+    start = 0
+    for i, n in enumerate(sizes.tolist()):
+        least = math.ceil(share * n - 1e-9)
+        need = n - least + 1
+        for r in {regime(n), regime(least)} if probe else {regime(n)}:
+            if r == 0:
+                made[1][0].extend([(i, 0)] * need)
+                made[1][1].extend(mixed[start : start + need])
+                continue
+            groups, members, units = group_counts(r), {}, 0
+            for at in range(start, start + n):
+                k = cls[at]
+                own = members.setdefault((k, mixed[at] % groups[k]), [])
+                own.append(mixed[at])
+                units += len(own) >= k
+                if units >= need:
+                    break
+            for (k, _), own in members.items():
+                if len(own) >= k:
+                    own.sort()
+                    before = len(made[k][1])
+                    made[k][1].extend(own if k == 1 else itertools.chain.from_iterable(itertools.combinations(own, k)))
+                    made[k][0].extend([(i, r)] * ((len(made[k][1]) - before) // k))
+        start += n
+    owners, sigs = [], []
+    for k, (tags, toks) in enumerate(made):
+        if tags:
+            tag, combos = np.array(tags), np.array(toks, np.uint64).reshape(-1, k)
+            h = (tag[:, 1] * 16 + k).astype(np.uint64)
+            for j in range(k):
+                h = _mix(h * _MIX[0] + combos[:, j])
+            owners.append(tag[:, 0])
+            sigs.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+    return np.concatenate(owners), np.concatenate(sigs)
 
 
-def parity(toks: np.ndarray) -> tuple[int, int]:
-    """128 parities of the words by hash: two sets differ in at least as many words as parities."""
-    h = _mix(toks.astype(np.int64).view(np.uint64) * _MIX[0] + np.uint64(7))
-    bits = np.uint64(1) << (h & np.uint64(63))
-    high = (h >> np.uint64(6)) & np.uint64(1) == 1
-    return tuple(int(np.bitwise_xor.reduce(x).view(np.int64)) if len(x) else 0 for x in (bits[high], bits[~high]))
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """256 parities of each set's words by hash, as four longs: two sets differ in at least as many words as parities."""
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    h = _mix(flat.astype(np.int64).view(np.uint64) * _MIX[0] + np.uint64(7)) & np.uint64(255)
+    odd = np.bincount(of * 256 + h.astype(np.int64), minlength=256 * len(sets)).reshape(-1, 256) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
 def candidate_pairs(reps: DataFrame, counts: np.ndarray, n: int, threshold: float) -> DataFrame:
@@ -144,17 +155,18 @@ def candidate_pairs(reps: DataFrame, counts: np.ndarray, n: int, threshold: floa
             counts, classes = shared.value
             with np.errstate(over="ignore"):
                 for pdf in batches:
-                    if len(pdf):
-                        sigs = [signatures(t, counts, classes, threshold, probe) for t in pdf["toks"]]
-                        sizes = [len(s) for s in sigs]
-                        low, high = zip(*map(parity, pdf["toks"]))
-                        yield pd.DataFrame({"sig": np.concatenate(sigs)} | {k: np.repeat(np.array(v), sizes) for k, v in (("rid", pdf["rid"]), ("n", pdf["n"]), ("p0", low), ("p1", high))})
+                    for at in range(0, len(pdf), 2000):
+                        sets = pdf["toks"].iloc[at : at + 2000].tolist()
+                        owner, sig = signatures(sets, counts, classes, threshold, probe)
+                        par = parities(sets)
+                        own = pdf.iloc[at : at + 2000]
+                        yield pd.DataFrame({"sig": sig, "rid": own["rid"].to_numpy()[owner], "n": own["n"].to_numpy()[owner]} | {f"p{j}": par[owner, j] for j in range(4)})
 
-        return reps.select("rid", "toks", F.size("toks").alias("n")).mapInPandas(run, "sig long, rid long, n int, p0 long, p1 long")
+        return reps.select("rid", "toks", F.size("toks").alias("n")).mapInPandas(run, "sig int, rid long, n int, p0 long, p1 long, p2 long, p3 long")
 
     a, b = side(False).alias("a"), side(True).alias("b")
     smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rid") < F.col("b.rid")))
-    apart = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
+    apart = sum((F.bit_count(F.col(f"a.p{j}").bitwiseXOR(F.col(f"b.p{j}"))) for j in range(4)), F.lit(0))
     fits = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (apart <= (1 - threshold) / (1 + threshold) * (F.col("a.n") + F.col("b.n")) + 1e-9)
     return a.join(b, (F.col("a.sig") == F.col("b.sig")) & smaller & fits).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
 
