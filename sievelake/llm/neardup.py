@@ -40,6 +40,8 @@ MAX_CLASS = 3
 FIRST_REGIME = 20
 #: Hash groups of the classes 2 and 3 as a share of a regime's least size: 0.4 + 2 * 0.09 = 0.58 units.
 GROUP_SHARES = (0.4, 0.09)
+#: Bits of the bound that candidates have to meet; a multiple of 64.
+PARITIES = 192
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -51,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def token_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, toks): sorted distinct word hashes; ids without words are left out, repeated ids count once."""
-    toks = F.array_sort(F.array_distinct(F.transform(words(F.col(text_col)), lambda w: F.hash(w))))
+    toks = F.sort_array(F.array_distinct(F.transform(words(F.col(text_col)), lambda w: F.hash(w))))
     return df.select(F.col(id_col).alias("id"), toks.alias("toks")).filter(F.col("id").isNotNull() & (F.size("toks") > 0))
 
 
@@ -136,10 +138,10 @@ def signatures(sets: list[np.ndarray], counts: np.ndarray, classes: np.ndarray,
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """256 parities of each set's words by hash, as four longs: two sets differ in at least as many words as parities."""
+    """PARITIES parities of each set's words by hash, as longs: two sets differ in at least as many words as parities."""
     flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
-    h = _mix(flat.astype(np.int64).view(np.uint64) * _MIX[0] + np.uint64(7)) & np.uint64(255)
-    odd = np.bincount(of * 256 + h.astype(np.int64), minlength=256 * len(sets)).reshape(-1, 256) & 1
+    h = _mix(flat.astype(np.int64).view(np.uint64) * _MIX[0] + np.uint64(7)) % np.uint64(PARITIES)
+    odd = np.bincount(of * PARITIES + h.astype(np.int64), minlength=PARITIES * len(sets)).reshape(-1, PARITIES) & 1
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
@@ -160,13 +162,13 @@ def candidate_pairs(reps: DataFrame, counts: np.ndarray, n: int, threshold: floa
                         owner, sig = signatures(sets, counts, classes, threshold, probe)
                         par = parities(sets)
                         own = pdf.iloc[at : at + 2000]
-                        yield pd.DataFrame({"sig": sig, "rid": own["rid"].to_numpy()[owner], "n": own["n"].to_numpy()[owner]} | {f"p{j}": par[owner, j] for j in range(4)})
+                        yield pd.DataFrame({"sig": sig, "rid": own["rid"].to_numpy()[owner], "n": own["n"].to_numpy()[owner]} | {f"p{j}": par[owner, j] for j in range(PARITIES // 64)})
 
-        return reps.select("rid", "toks", F.size("toks").alias("n")).mapInPandas(run, "sig int, rid long, n int, p0 long, p1 long, p2 long, p3 long")
+        return reps.select("rid", "toks", F.size("toks").alias("n")).mapInPandas(run, "sig int, rid long, n int, " + ", ".join(f"p{j} long" for j in range(PARITIES // 64)))
 
     a, b = side(False).alias("a"), side(True).alias("b")
     smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rid") < F.col("b.rid")))
-    apart = sum((F.bit_count(F.col(f"a.p{j}").bitwiseXOR(F.col(f"b.p{j}"))) for j in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"a.p{j}").bitwiseXOR(F.col(f"b.p{j}"))) for j in range(PARITIES // 64)), F.lit(0))
     fits = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (apart <= (1 - threshold) / (1 + threshold) * (F.col("a.n") + F.col("b.n")) + 1e-9)
     return a.join(b, (F.col("a.sig") == F.col("b.sig")) & smaller & fits).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
 
@@ -193,7 +195,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     reps = materialize(sets.groupBy("toks").agg(F.min("id").alias("rep")).select(F.monotonically_increasing_id().alias("rid"), "rep", "toks"), "neardup-reps")
     pairs = candidate_pairs(reps, counts, reps.count(), threshold)
     # membership through a 128-bit digest of the word set, so that no set is shuffled for it
-    digest = F.md5(F.concat_ws(",", F.col("toks").cast("array<string>")))
+    digest = F.unhex(F.md5(F.concat_ws(",", F.col("toks").cast("array<string>"))))
     members = sets.select("id", digest.alias("d")).join(reps.select("rep", digest.alias("d")), "d").select("id", "rep").distinct()
     return verified(pairs, reps, threshold), members
 
