@@ -8,9 +8,9 @@ class k survives n-k removals. So two sets at or above
 the threshold share a signature, whatever else they hold, and nothing is lost or capped.
 
 Word order needs only to be the same everywhere, so frequencies come from a counting
-sketch of SKETCH buckets over *all* texts: a bounded broadcast at any scale; two words in
-one bucket only make a class coarser. Texts with equal word sets are one representative;
-memberships are kept beside it.
+sketch of SKETCH buckets over *all* word sets: a bounded broadcast at any scale; two words
+in one bucket only make a class coarser. Texts with equal word sets are one representative;
+their copies are kept beside it.
 
 Words are compared as 32-bit hashes; a pair can be misjudged only if two different words of
 that pair collide (about 1e-6) and the pair lies on the threshold.
@@ -38,8 +38,8 @@ LIST_GOAL = 2000
 MAX_CLASS = 3
 #: Sets below this size index single words only; from it on, each doubling is a regime.
 FIRST_REGIME = 20
-#: Hash groups of the classes 2 and 3 as a share of a regime's least size: 0.4 + 2 * 0.09 = 0.58 units.
-GROUP_SHARES = (0.4, 0.09)
+#: Hash groups of the classes 2 and 3 as a share of a regime's least size: 0.5 + 2 * 0.05 = 0.6 units.
+GROUP_SHARES = (0.5, 0.05)
 #: Bits of the bound that candidates have to meet; a multiple of 64.
 PARITIES = 192
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -58,7 +58,7 @@ def token_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketch_counts(sets: DataFrame) -> np.ndarray:
-    """Document counts by word bucket over all sets (at most SKETCH rows reach the driver)."""
+    """Counts by word bucket over all word sets (at most SKETCH rows reach the driver)."""
     rows = sets.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(SKETCH)).alias("b")).count().toPandas()
     out = np.zeros(SKETCH, np.int64)
     out[rows["b"].to_numpy()] = rows["count"].to_numpy()
@@ -81,7 +81,7 @@ def group_counts(r: int) -> list[int]:
     """Numbers of hash groups of the classes 1..MAX_CLASS (from index 1) in regime r.
 
     A group of class k costs k-1 units; all groups together cost less than what any set of
-    the regime's sizes can spare (0.58 of its size), so every prefix can be completed.
+    the regime's sizes can spare (0.6 of its size), so every prefix can be completed.
     """
     least = FIRST_REGIME << (r - 1)
     return [0, 1, *(max(1, int(least * share)) for share in GROUP_SHARES)]
@@ -188,37 +188,38 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "rep_a string, rep_b string, similarity double")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (rep_a, rep_b, similarity) between different word sets, members (id, rep) of every row with words."""
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, reps, copies): links (rep_a, rep_b, similarity) between different word sets; reps, one row for each word set;
+    copies (id, rep) of the ids that are not their word set's representative."""
     sets = token_sets(df, id_col, text_col)
-    counts = sketch_counts(sets)
     reps = materialize(sets.groupBy("toks").agg(F.min("id").alias("rep")).select(F.monotonically_increasing_id().alias("rid"), "rep", "toks"), "neardup-reps")
-    pairs = candidate_pairs(reps, counts, reps.count(), threshold)
+    pairs = candidate_pairs(reps, sketch_counts(reps), reps.count(), threshold)
     # membership through a 128-bit digest of the word set, so that no set is shuffled for it
     digest = F.unhex(F.md5(F.concat_ws(",", F.col("toks").cast("array<string>"))))
-    members = sets.select("id", digest.alias("d")).join(reps.select("rep", digest.alias("d")), "d").select("id", "rep").distinct()
-    return verified(pairs, reps, threshold), members
+    members = sets.select("id", digest.alias("d")).join(reps.select("rep", digest.alias("d")), "d")
+    copies = materialize(members.filter("id <> rep").select("id", "rep").distinct(), "neardup-copies")
+    return verified(pairs, reps, threshold), reps, copies
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of ids at or above the threshold, copies included."""
-    links, members = near_duplicates(df, id_col, text_col, threshold)
-    ma, mb = members.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), members.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    across = links.join(ma, "rep_a").join(mb, "rep_b").select("x", "y")
+    links, _, copies = near_duplicates(df, id_col, text_col, threshold)
+    links = materialize(links, "neardup-links")
+    for side in ("rep_a", "rep_b"):  # each end stands for itself and for its copies
+        links = links.withColumn("x" + side, F.col(side)).unionByName(links.join(copies.select(F.col("rep").alias(side), F.col("id").alias("x" + side)), side))
     # within a word set the answer itself is all pairs; hot sets are spread by AQE's skew join
-    many = members.groupBy("rep").count().filter("count > 1").select("rep")
-    own = members.join(many, "rep", "left_semi")
-    within = own.alias("p").join(own.alias("q"), "rep").filter("p.id < q.id").select(F.col("p.id").alias("x"), F.col("q.id").alias("y"))
-    both = across.unionByName(within)
-    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    own = copies.unionByName(copies.select(F.col("rep").alias("id"), "rep").distinct())
+    within = own.alias("p").join(own.alias("q"), "rep").filter("p.id < q.id").select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
+    return links.select(F.least("xrep_a", "xrep_b").alias("id_a"), F.greatest("xrep_a", "xrep_b").alias("id_b")).unionByName(within)
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
     """(id, group_id, links): one row for each id; group_id is the smallest id that links lead to, links the links to other word sets."""
-    links, members = near_duplicates(df, id_col, text_col, threshold)
+    links, reps, copies = near_duplicates(df, id_col, text_col, threshold)
     links = materialize(links, "neardup-links")
     group = connected_components(links.select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst")))
     degree = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    members = copies.unionByName(reps.select(F.col("rep").alias("id"), "rep"))
     return (
         members.join(group.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
         .select("id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
