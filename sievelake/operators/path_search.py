@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from sievelake.functions.scoring import ScoringConfig, apply_scoring
 from sievelake.functions.text import level_weight, path_levels
+from sievelake.functions.vectors import dot, normalize
 from sievelake.operators.fulltext import bm25
 from sievelake.operators.fusion import ranked, rrf
 from sievelake.operators.vector_search import vector_scores
+from sievelake.session import cut, materialize
 
 OVERFETCH, FALLBACK = 2, 0.5
 
@@ -43,12 +45,10 @@ def level_hits(scores: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -
 
 
 def level_vector_scores(queries: DataFrame, docs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(query_id, id, score) between a query's vector and every document under its path's first level."""
-    first = queries.select("query_id", F.col("vector").alias("qv"), F.get(path_levels(F.col("path")), F.lit(0)).alias("level")).filter("level IS NOT NULL AND qv IS NOT NULL")
-    from sievelake.functions.vectors import cosine
-
-    near = first.join(under_level(docs), "level").join(vectors.select("id", "vector"), "id")
-    return near.select("query_id", "id", cosine(F.col("qv"), F.col("vector")).alias("score"))
+    """(query_id, id, score) between a query's vector and every document under its path's first level; both are brought to unit length before they meet."""
+    first = queries.select("query_id", normalize(F.col("vector")).alias("qv"), F.get(path_levels(F.col("path")), F.lit(0)).alias("level")).filter("level IS NOT NULL AND qv IS NOT NULL")
+    near = first.join(under_level(docs), "level").join(vectors.select("id", normalize(F.col("vector")).alias("vector")), "id")
+    return near.select("query_id", "id", dot(F.col("qv"), F.col("vector")).alias("score"))
 
 
 def path_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, dim: int, k: int, now: int, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
@@ -58,11 +58,11 @@ def path_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, dim: in
     importance, ts. Global rows are those without a path; theirs are vector hits where the
     query has a vector, else text hits, at half their score.
     """
-    text = bm25(docs, queries)
+    text = materialize(bm25(docs, queries), "hits")  # read by the levels and by the fallback
     by = ["query_id", "level", "weight"]
     lists = [level_hits(level_vector_scores(queries, docs, vectors, dim), docs, queries, OVERFETCH * k), level_hits(text, docs, queries, OVERFETCH * k)]
     fused = rrf(lists, by).withColumn("score", F.col("score") * F.col("weight"))
-    best = ranked(fused.groupBy("query_id", "id").agg(F.round(F.max("score"), 9).alias("score")), ["query_id"]).filter(F.col("rank") <= k)
+    best = cut(ranked(fused.groupBy("query_id", "id").agg(F.round(F.max("score"), 9).alias("score")), ["query_id"]).filter(F.col("rank") <= k))  # k rows a query
     found = best.groupBy("query_id").agg(F.count("*").alias("found"))
 
     loose = docs.filter("hierarchy_path IS NULL").select("id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions.vectors import usable
 from sievelake.functions.words import words
+from sievelake.session import cut
 from sievelake.sources.tables import memories, table
 
 NOW, DIM, K = 1706745600, 128, 10
@@ -35,21 +36,21 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, id): of each case, the first memory with a vector that holds its first expected term as a word."""
+    """(query_id, id): of each case, the first memory with a vector that holds its first expected term as a word; written, being asked for several times."""
     asked = table(spark, sf, "eval_cases").select(F.col("item_id").alias("query_id"), F.lower(F.try_element_at("expected_terms", F.lit(1))).alias("term"))
     held = docs(spark, sf, "text").select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(asked, "term")
-    return held.join(vectors(spark, sf).select("id"), "id").groupBy("query_id").agg(F.min("id").alias("id"))
+    return cut(held.join(vectors(spark, sf).select("id"), "id").groupBy("query_id").agg(F.min("id").alias("id")))
 
 
 def example_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, vector) of the examples."""
-    return examples(spark, sf).join(vectors(spark, sf), "id").select("query_id", "vector")
+    return cut(examples(spark, sf).join(vectors(spark, sf), "id").select("query_id", "vector"))
 
 
 def located(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, query, path): cases asked from where their example lies; without one, from their own path."""
     at = examples(spark, sf).join(docs(spark, sf, "hierarchy_path"), "id").select("query_id", "hierarchy_path")
-    return cases(spark, sf).join(at, "query_id", "left").select("query_id", "query", F.coalesce("hierarchy_path", "path").alias("path"))
+    return cut(cases(spark, sf).join(at, "query_id", "left").select("query_id", "query", F.coalesce("hierarchy_path", "path").alias("path")))
 
 
 WORDS = r"regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '([一-鿿])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
