@@ -2,8 +2,9 @@
 
 Every text is cut into blocks of about BLOCK characters at line ends, or less where a
 paragraph of at least PARAGRAPH characters ends. A block is compressed
-with its surroundings as dictionary; links, hashtags and article codes count as one symbol
-each, because a list of them is a list whatever it names. The ratio to the block's size is
+with its surroundings as dictionary; links, hashtags, article codes and the items of a bare
+enumeration (eight or more items of one or two words) count as one symbol each, because a
+list of them is a list whatever it names. The ratio to the block's size is
 divided by the usual ratio of sentences of the same language and length, a median over all
 documents. A block whose normalized ratio is below REDUNDANT is extremely redundant; it is
 confirmed if less than half of its characters stand in sentences (a sentence ends with
@@ -34,6 +35,8 @@ LENGTHS = (60, 120, 200, 300, 450)
 
 _LINK = re.compile(r"""<a\s[^>]*>|</a>|(?:https?://|www\.)[^\s<>")\]]+""")
 _TAG = re.compile(r"(?<![\w#])#\w+")
+_ENUMERATED = re.compile(r"(?:\w[\w'-]*(?: [\w'-]+)?(?:, |，|、| · )){7,}\w[\w'-]*")
+_ITEM = re.compile(r"[^,，、·]+")
 _CODE = re.compile(r"\b[A-Z]{2,}[-_]?\d+\b")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _SPACE = re.compile(r"\s")
@@ -70,11 +73,19 @@ def _symbols(s: str) -> str:
     return _CODE.sub("\x02", _TAG.sub("\x03", _LINK.sub("\x01", s)))
 
 
+def _compressed(own: str, around: str) -> int:
+    d = around.encode()
+    z = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_DEFAULT_STRATEGY, d) if d else zlib.compressobj(9, zlib.DEFLATED, -15, 9)
+    return len(z.compress(own.encode()) + z.flush())
+
+
 def redundancy(block: str, before: str, after: str) -> float:
-    """Compressed size of the block, given what surrounds it, over its own size in bytes."""
-    own, around = _symbols(block), (_symbols(after) + _symbols(before)).encode()
-    z = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_DEFAULT_STRATEGY, around) if around else zlib.compressobj(9, zlib.DEFLATED, -15, 9)
-    size = len(z.compress(own.encode()) + z.flush())
+    """Compressed size of the block, given what surrounds it, over its own size in bytes; the smaller one with and without enumerated items as symbols."""
+    own, around = _symbols(block), _symbols(after) + _symbols(before)
+    size = _compressed(own, around)
+    listed = _ENUMERATED.sub(lambda m: _ITEM.sub("\x04", m[0]), own)
+    if listed != own:
+        size = min(size, _compressed(listed, around))
     return size / max(1, len(block.encode()) - sum(len(c) - 1 for c in _CODE.findall(block)))
 
 
