@@ -122,4 +122,10 @@ def sql() -> dict[str, str]:
             "SELECT DISTINCT least(a, b) AS memory_id_a, greatest(a, b) AS memory_id_b FROM r WHERE rn <= 10 AND c >= 0.85"
         ),
         "p6_found": leak_rows,
+        # any usual tokenizer gives the same list: here ideographs, words, numbers and marks count as tokens
+        "p7_found": (
+            r"WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[一-鿿]|[A-Za-zÀ-ɏ]+|\p{N}+|[^\s\p{L}\p{N}]')) AS n FROM documents WHERE source IS NOT NULL), "
+            "s AS (SELECT m.source, target_share, max_repeats, coalesce(sum(n), 0) AS n FROM mix_targets m LEFT JOIN d USING (source) GROUP BY ALL) "
+            "SELECT source FROM s WHERE max_repeats * n < target_share * (SELECT sum(n) FROM s)"
+        ),
     }
