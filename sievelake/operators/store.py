@@ -146,6 +146,11 @@ class MemoryStore:
     def vectors(self) -> DataFrame:
         return self.spark.read.schema(VECTOR).parquet(f"{self.path}/vectors")
 
+    def health(self) -> dict:
+        """Whether both tables can be read, and the version of Spark."""
+        self.memories().limit(1).count(), self.vectors().limit(1).count()
+        return {"status": "ok", "version": self.spark.version}
+
     def insert(self, rows: DataFrame) -> None:
         """Append rows (with an optional column vector); ids that exist raise, nothing is written then."""
         has_vec = "vector" in rows.columns

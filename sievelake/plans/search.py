@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions import scoring, text as tx, vectors as vx
-from sievelake.operators import fulltext, fusion, path_search as ps, quality, rerank as rr, tree_search as ts, vector_search as vs
+from sievelake.operators import evaluation, fulltext, fusion, path_search as ps, quality, rerank as rr, retrieval, tree_search as ts, vector_search as vs
 from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors
 from sievelake.session import cut
+from sievelake.sources.files import Settings
 from sievelake.sources.tables import table
 
 SCOPES = ["global", "agent:scout"]
@@ -306,3 +307,40 @@ def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
 def mmr(spark: SparkSession, sf: str) -> DataFrame:
     near = vs.vector_topk(example_vectors(spark, sf), _rows(spark, sf), DIM, 50)
     return quality.mmr(near.join(vectors(spark, sf), "id"), K)
+
+
+def _asked(spark, sf):
+    return cut(cases(spark, sf).select("query_id", "query").join(example_vectors(spark, sf), "query_id", "left"))
+
+
+def _mode(spark, sf, mode):
+    return retrieval.retrieve(_asked(spark, sf), docs(spark, sf, "text", "scope"), vectors(spark, sf), Settings(mode=mode, scopes=("global", "agent:scout")))
+
+
+_ALLOWED = "(SELECT {0}.* FROM {0} JOIN mem USING (id) WHERE scope IN ('global', 'agent:scout'))"
+
+
+@query(sql(top(_ALLOWED.format("bm")), "bm", "mem"))
+def mode_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _mode(spark, sf, 1)
+
+
+_FUSE = "f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN b.score WHEN b.id IS NOT NULL THEN least(a.score + 0.15e0 * a.score, 1e0) ELSE a.score END AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id)"
+
+
+@query(sql(f", a AS ({top(_ALLOWED.format('vs'), 20)}), b AS ({top(_ALLOWED.format('bm'), 20)}), {_FUSE} {top('f')}", "vs", "bm", "mem"))
+def mode_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return _mode(spark, sf, 2)
+
+
+@query()
+def mode_reranked(spark: SparkSession, sf: str) -> DataFrame:
+    return _mode(spark, sf, 3)
+
+
+@query()
+def rerank_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision of every case without and with reranking."""
+    d, c = docs(spark, sf, "text"), cases(spark, sf)
+    parts = [evaluation.precision(cut(_mode(spark, sf, m)), d, c).select("query_id", F.col("precision").alias(n)) for m, n in ((2, "plain"), (3, "reranked"))]
+    return parts[0].join(parts[1], "query_id").withColumn("gain", F.round(F.col("reranked") - F.col("plain"), 6))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import text as tx
 from sievelake.functions.embed import embed_udf
-from sievelake.operators import chunking, evaluation, fulltext, summaries
-from sievelake.plans.views import K, cases, docs, located, sql, top, vectors
+from sievelake.operators import chunking, evaluation, fulltext, retrieval, summaries
+from sievelake.plans.views import K, NOW, cases, docs, located, sql, top, vectors
 from sievelake.session import cut
 from sievelake.sources.tables import table
 
@@ -136,6 +136,13 @@ def summarized(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.summarized(m.select("id", "text"), cache)
 
 
+@query()
+def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as the store would hold them: chunks with summaries, path, level and a vector."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), "doc_id").alias("source_file"), "text")
+    return retrieval.ingest_rows(d, NOW)
+
+
 def _found(spark, sf):
     return cut(fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), cases(spark, sf)), K))
 

@@ -29,6 +29,7 @@ def test_store_round_trip(spark, db):
     assert {r["id"] for r in db.search(query="go").collect()} == {"a", "c"}
     assert {r["id"] for r in db.search(query="go", path="/p").collect()} >= {"c"}
     assert json.loads(db.search_json("[1, 0, 0]", 1))[0]["id"] == "a"
+    assert db.health()["status"] == "ok"
     assert db.content("a").first()["text"] == "Go is strong"
     assert {r["category"]: r["total"] for r in db.stats().collect()} == {"other": 3}
     with pytest.raises(ValueError):
@@ -147,3 +148,21 @@ def test_evaluation(spark):
     assert evaluation.suites(evaluation.precision(res, docs, cases)).first()["pass_rate"] == 0.5
     s = evaluation.scenario(res, docs, cases).first()
     assert (s["in_path"], s["full_match"], s["partial_match"], s["best"]) == (1, 1, 0, 0.9)
+
+
+def test_ingest_and_modes(spark, tmp_path):
+    from sievelake.operators import retrieval
+
+    (tmp_path / "a.md").write_text("# Alpha\nThe alpha server keeps records.\n# Beta\nThe beta cache drops rows.")
+    (tmp_path / "b.txt").write_text("Gamma explains everything else.")
+    got = retrieval.ingest_rows(files.crawl(spark, str(tmp_path)), 5, 50, 1).persist()
+    assert got.count() == 3 and got.select("id").distinct().count() == 3
+    assert {r["hierarchy_path"]: r["hierarchy_level"] for r in got.collect()} == {"/a.md/Alpha": 2, "/a.md/Beta": 2, "/b.txt/chunk_0": 2}
+    v = got.select("id", "vector")
+    q = got.filter("text LIKE '%alpha%'").select(F.lit(1).alias("query_id"), F.lit("alpha").alias("query"), F.lit("").alias("path"), "vector")
+    for mode in (1, 2, 3):
+        first = retrieval.retrieve(q, got, v, files.Settings(mode=mode, limit=2, dim=64)).filter("rank = 1").join(got.select("id", "text"), "id").first()
+        assert "alpha" in first["text"]
+    assert retrieval.retrieve(q, got, v, files.Settings(mode=2, dim=64, scopes=("none",))).count() == 0
+    both = q.unionByName(q.select(F.lit(2).alias("query_id"), "query", F.lit("/a.md").alias("path"), "vector"))
+    assert {r["query_id"] for r in retrieval.route(both, got.withColumn("ts", F.col("timestamp")), v, files.Settings(dim=64), 5).collect()} == {1, 2}
