@@ -10,12 +10,21 @@ CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}\x
 SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def token_estimate(text: Column) -> Column:
-    """int(1.5 for each CJK character + 1.3 for each other word); 0 for null or empty."""
+def token_weight(text: Column) -> Column:
+    """Ten times the token estimate before it is cut to a whole number; adds up over pieces joined by white space."""
     t = F.coalesce(text, F.lit(""))
     cjk = F.regexp_count(t, F.lit(f"[{CJK}]"))
     other = F.regexp_count(t, F.lit(rf"[^{CJK}{SPACE}\p{{P}}]+"))
-    return F.floor((cjk * 15 + other * 13) / F.lit(10)).cast("int")
+    return cjk * 15 + other * 13
+
+
+def tokens_of(weight: Column) -> Column:
+    return F.floor(weight / F.lit(10)).cast("int")
+
+
+def token_estimate(text: Column) -> Column:
+    """int(1.5 for each CJK character + 1.3 for each other word); 0 for null or empty."""
+    return tokens_of(token_weight(text))
 
 
 def has_headings(text: Column) -> Column:
@@ -39,27 +48,32 @@ def split_headings(text: Column) -> Column:
     return F.transform(parts, entry)
 
 
-def pack_paragraphs(text: Column, max_tokens: int) -> Column:
-    """Array of chunks: paragraphs packed greedily up to max_tokens; one that is larger stays whole.
+def pack_weighed(text: Column, max_tokens: int) -> Column:
+    """Array of (content, w): paragraphs packed greedily up to max_tokens; one that is larger stays whole. w is the token weight.
 
-    The estimate of a concatenation is taken from its summed counts, so the fold needs no re-scan.
+    The weight of a concatenation is the sum of the weights, so the fold never scans a text again.
     """
     paras = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    weighed = F.transform(
-        paras,
-        lambda p: F.struct(p.alias("p"), (F.regexp_count(p, F.lit(f"[{CJK}]")) * 15 + F.regexp_count(p, F.lit(rf"[^{CJK}{SPACE}\p{{P}}]+")) * 13).alias("w")),
-    )
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("w"))
+    weighed = F.transform(paras, lambda p: F.struct(p.alias("p"), token_weight(p).alias("w")))
+    start = F.struct(F.array().cast("array<struct<content:string,w:int>>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("w"))
+
+    def piece(acc: Column) -> Column:
+        return F.array(F.struct(acc["cur"].alias("content"), acc["w"].alias("w")))
 
     def step(acc: Column, x: Column) -> Column:
-        flush = (F.floor((acc["w"] + x["w"]) / 10) > max_tokens) & (acc["cur"] != "")
+        flush = (tokens_of(acc["w"] + x["w"]) > max_tokens) & (acc["cur"] != "")
         return F.struct(
-            F.when(flush, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
+            F.when(flush, F.concat(acc["done"], piece(acc))).otherwise(acc["done"]).alias("done"),
             F.when(flush | (acc["cur"] == ""), x["p"]).otherwise(F.concat(acc["cur"], F.lit("\n\n"), x["p"])).alias("cur"),
             F.when(flush, x["w"]).otherwise(acc["w"] + x["w"]).alias("w"),
         )
 
-    return F.aggregate(weighed, start, step, lambda acc: F.when(acc["cur"] != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
+    return F.aggregate(weighed, start, step, lambda acc: F.when(acc["cur"] != "", F.concat(acc["done"], piece(acc))).otherwise(acc["done"]))
+
+
+def pack_paragraphs(text: Column, max_tokens: int) -> Column:
+    """The contents of pack_weighed."""
+    return F.transform(pack_weighed(text, max_tokens), lambda p: p["content"])
 
 
 def first_characters(text: Column, n: int) -> Column:

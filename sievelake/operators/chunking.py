@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from sievelake.functions.embed import hashed_vectors
-from sievelake.functions.text import has_headings, pack_paragraphs, split_headings, token_estimate
+from sievelake.functions.text import has_headings, pack_weighed, split_headings, token_weight, tokens_of
 from sievelake.functions.vectors import cosine
 
 MAX_TOKENS, MIN_TOKENS, MIN_SEGMENT = 512, 256, 2
@@ -68,13 +68,13 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def merge_small(pieces: Column, least: int) -> Column:
-    """Array of (title, content): a piece under ``least`` tokens goes to the end of the one before it and loses its title."""
-    start = F.array().cast("array<struct<title:string,content:string>>")
+    """Array of (title, content, w): a piece under ``least`` tokens goes to the end of the one before it and loses its title."""
+    start = F.array().cast("array<struct<title:string,content:string,w:int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["title"].alias("title"), F.concat(last["content"], F.lit("\n\n"), x["content"]).alias("content"))))
-        return F.when((token_estimate(x["content"]) < least) & (F.size(acc) > 0), joined).otherwise(F.concat(acc, F.array(F.struct(x["title"].alias("title"), x["content"].alias("content")))))
+        last = F.try_element_at(acc, F.lit(-1))
+        both = F.struct(last["title"].alias("title"), F.concat(last["content"], F.lit("\n\n"), x["content"]).alias("content"), (last["w"] + x["w"]).alias("w"))
+        return F.when((tokens_of(x["w"]) < least) & (F.size(acc) > 0), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
 
     return F.aggregate(pieces, start, step)
 
@@ -84,23 +84,24 @@ def smart_split(docs: DataFrame, max_tokens: int = MAX_TOKENS, min_tokens: int =
 
     Headings first; sections over max_tokens by paragraphs; small pieces into their
     predecessor; what is then over 1.5 * max_tokens by paragraphs again. All in expressions
-    over one row, so documents are never grouped or sorted.
+    over one row, so documents are never grouped or sorted; a piece carries its token weight,
+    so that texts are weighed once.
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
     whole = F.array(F.struct(F.lit("").alias("title"), text.alias("content")))
     parts = F.filter(F.when(has_headings(text), split_headings(text)).otherwise(whole), lambda s: s["content"] != "")
+    weighed = F.transform(parts, lambda s: F.struct(s["title"].alias("title"), s["content"].alias("content"), token_weight(s["content"]).alias("w")))
 
     def pack(s: Column, over: float) -> Column:
-        one = F.array(F.struct(s["title"].alias("title"), s["content"].alias("content")))
-        many = F.transform(pack_paragraphs(s["content"], max_tokens), lambda p: F.struct(s["title"].alias("title"), p.alias("content")))
-        return F.when(token_estimate(s["content"]) <= over, one).otherwise(many)
-
-    d = docs.select("doc_id", "base", F.flatten(F.transform(parts, lambda s: pack(s, max_tokens))).alias("p"))
-    d = d.select("doc_id", "base", merge_small(F.col("p"), min_tokens).alias("p"))
-    d = d.select("doc_id", "base", F.flatten(F.transform("p", lambda s: pack(s, int(max_tokens * 1.5)))).alias("p"))
-    out = d.select("doc_id", "base", F.posexplode("p").alias("chunk_index", "s")).select("doc_id", "base", "chunk_index", "s.title", "s.content")
+        many = F.transform(pack_weighed(s["content"], max_tokens), lambda p: F.struct(s["title"].alias("title"), p["content"].alias("content"), p["w"].alias("w")))
+        return F.when(tokens_of(s["w"]) <= over, F.array(s)).otherwise(many)
+
+    d = docs.select("doc_id", "base", weighed.alias("p"))
+    d = d.select("doc_id", "base", merge_small(F.flatten(F.transform("p", lambda s: pack(s, max_tokens))), min_tokens).alias("p"))
+    d = d.select("doc_id", "base", F.posexplode(F.flatten(F.transform("p", lambda s: pack(s, int(max_tokens * 1.5))))).alias("chunk_index", "s"))
+    out = d.select("doc_id", "base", "chunk_index", "s.title", "s.content", "s.w")
     name = F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.lit("chunk_"), F.col("chunk_index").cast("string")))
-    return out.select("doc_id", "chunk_index", "title", "content", token_estimate(F.col("content")).alias("token_count"), F.concat("base", F.lit("/"), name).alias("hierarchy"), F.lit("chunk").alias("node_type"))
+    return out.select("doc_id", "chunk_index", "title", "content", tokens_of(F.col("w")).alias("token_count"), F.concat("base", F.lit("/"), name).alias("hierarchy"), F.lit("chunk").alias("node_type"))
 
 
 def overlapping(docs: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -56,8 +56,8 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     )
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     size = corpus_size(docs)
-    weights = qt.join(df, "term").join(F.broadcast(size)).select("query_id", "n_terms", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))  # size: one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weights = qt.join(df, "term").select("query_id", "n_terms", "term", idf(size.select("n").scalar(), F.col("df")).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / size.select("avgdl").scalar()))
     return (
         tf.join(weights, "term").groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("hit"))
         .filter("hit = n_terms").select("query_id", "id", F.greatest("score", F.lit(0.0)).alias("score"))
