@@ -55,9 +55,8 @@ def rates(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, wanted, rate, reachable), one row for each listed source."""
     targets = targets.select("source", "target_share", "max_repeats").filter("source IS NOT NULL").dropDuplicates(["source"])
     by = targets.join(tokens.groupBy("source").agg(F.sum("tokens").alias("tokens")), "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    total = by.agg(F.sum("tokens").alias("total"))
-    wanted = F.col("target_share") * F.col("total")
-    return by.join(F.broadcast(total)).select(  # one row
+    wanted = F.col("target_share") * by.agg(F.sum("tokens")).scalar()
+    return by.select(
         "source", "target_share", "max_repeats", "tokens", wanted.alias("wanted"),
         F.when(F.col("tokens") > 0, F.least(wanted / F.nullif("tokens", F.lit(0)), F.col("max_repeats").cast("double"))).otherwise(0.0).alias("rate"),
         (F.col("max_repeats") * F.col("tokens") >= wanted).alias("reachable"),
@@ -86,5 +85,5 @@ def reached_shares(tokens: DataFrame, targets: DataFrame, seed: int = 17) -> Dat
     rate = rates(tokens, targets)
     used = mixture(tokens, rate, seed).groupBy("source").agg(F.sum("copies").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"))
     out = rate.join(used, "source", "left").select("source", "target_share", "rate", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"))
-    total = out.agg(F.sum("used_tokens").alias("all_tokens"))
-    return out.join(F.broadcast(total)).select(*out.columns, (F.col("used_tokens") / F.nullif("all_tokens", F.lit(0))).alias("actual_share"))
+    total = F.nullif(out.agg(F.sum("used_tokens")).scalar(), F.lit(0))
+    return out.select(*out.columns, (F.col("used_tokens") / total).alias("actual_share"))
