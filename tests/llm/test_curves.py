@@ -78,3 +78,26 @@ def test_hot_copies(spark):
     ids = [f"m{i:04}" for i in range(len(x))]
     near = curves.nearest(frame(spark, ids, x), "memory_id", "vector", 4, 10, 0.85)
     assert near.count() == 15000 and near.filter("score < 0.999").count() == 0
+
+
+def test_windows_cross_range_boundaries():
+    """Every row has an own range; rows around a boundary are context in the range beyond it."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((6000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    old = curves.RANGE_ROWS
+    try:
+        curves.RANGE_ROWS = 2000
+        c = curves.Curves(x, 8, 3)
+    finally:
+        curves.RANGE_ROWS = old
+    key = c.keys(x, 0)
+    own, after, before = c.places(key, 0)
+    assert sorted(own[0]) == list(range(6000)) and set(own[1]) == {0, 1, 2}
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(6000, int)
+    rank[order] = np.arange(6000)
+    for bound, part in ((int((own[1] == 0).sum()), 0), (int((own[1] <= 1).sum()), 1)):
+        near = set(order[bound - 400 : bound]) - set(np.nonzero(key == key[order[bound - 1]])[0])
+        assert near <= set(after[0][after[1] == part + 1])
+        assert len(set(order[bound : bound + 400]) - set(before[0][before[1] == part])) < 40
