@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions import scoring, text as tx, vectors as vx
 from sievelake.operators import evaluation, fulltext, fusion, path_search as ps, quality, rerank as rr, retrieval, tree_search as ts, vector_search as vs
+from sievelake.operators.posting_index import PostingIndex
 from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors
-from sievelake.session import cut
+from sievelake.session import cut, shared_dir
 from sievelake.sources.files import Settings
 from sievelake.sources.tables import table
 
@@ -127,6 +130,16 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.top_k(_text(spark, sf), K)
 
 
+@query(sql(top("bm"), "bm"))
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stored index: built in two batches, the first of which holds some documents in an older wording."""
+    index = PostingIndex(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+    d = docs(spark, sf, "text")
+    index.add(d.filter("pmod(xxhash64(id), 10) = 0").withColumn("text", F.lower("text")), 1)
+    index.put(d, 2)
+    return fulltext.top_k(index.search(cases(spark, sf)), K)
+
+
 @query(sql("SELECT query_id, id, round(score, 6) AS score FROM bm", "bm"))
 def bm25_all_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _text(spark, sf).withColumn("score", F.round("score", 6))

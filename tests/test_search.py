@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievelake.functions import scoring, text as tx, vectors as vx
 from sievelake.operators import fulltext, fusion, path_search, quality, rerank, tree_search, vector_search
+from sievelake.operators.posting_index import PostingIndex
 
 
 def one(spark, *cols):
@@ -177,3 +178,26 @@ def test_mmr(spark):
     rows = [(1, "a", 1.0, [1.0, 0.0]), (1, "b", 0.99, [1.0, 0.0]), (1, "c", 0.8, [0.0, 1.0])]
     out = quality.mmr(spark.createDataFrame(rows, "query_id int, id string, score double, vector array<float>"), 2, 0.5)
     assert [r["id"] for r in out.orderBy("rank").collect()] == ["a", "c"]
+
+
+def test_posting_index_follows_writes(spark, tmp_path):
+    index = PostingIndex(spark, str(tmp_path / "ix"))
+    frame = lambda *r: spark.createDataFrame(list(r), "id string, text string")
+    q = spark.createDataFrame([(1, "data"), (2, "go data"), (3, "absent")], "query_id int, query string")
+    assert index.search(q).count() == 0
+
+    def same(now):
+        got = {(r["query_id"], r["id"]): round(r["score"], 9) for r in index.search(q).collect()}
+        want = {(r["query_id"], r["id"]): round(r["score"], 9) for r in fulltext.bm25(now, q).collect()}
+        assert got == want and got
+
+    first = frame(("a", "go data data"), ("b", "data here"), ("c", "go on"), ("d", None), ("e", ""), ("f", "unrelated words"))
+    index.add(first, 1)
+    same(first)
+    index.put(frame(("a", "data only"), ("g", "go data")), 2)
+    now = frame(("a", "data only"), ("b", "data here"), ("c", "go on"), ("f", "unrelated words"), ("g", "go data"))
+    same(now)
+    index.remove(frame(("b", "")), 3)
+    same(now.filter("id <> 'b'"))
+    index = index.compact(str(tmp_path / "ix2"))
+    same(now.filter("id <> 'b'"))
