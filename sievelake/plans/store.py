@@ -116,12 +116,12 @@ def capture_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_MSG}, g AS (SELECT platform, timestamp, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY platform ORDER BY timestamp) < 2000 THEN 0 ELSE 1 END AS s FROM m), "
-    "r AS (SELECT platform, timestamp, sum(s) OVER (PARTITION BY platform ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT platform, min(timestamp) AS started_ms, max(timestamp) + 2000 AS ended_ms, count(*) AS messages FROM r GROUP BY platform, k"
+    f"WITH {_MSG}, g AS (SELECT platform, coalesce(url, '') AS url, timestamp, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY platform, url ORDER BY timestamp) < 2000 THEN 0 ELSE 1 END AS s FROM m), "
+    "r AS (SELECT platform, url, timestamp, sum(s) OVER (PARTITION BY platform, url ORDER BY timestamp, s DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT platform, url, min(timestamp) AS started_ms, max(timestamp) + 2000 AS ended_ms, count(*) AS messages FROM r GROUP BY platform, url, k"
 )
 def capture_sessions(spark: SparkSession, sf: str) -> DataFrame:
     s = capture.sessions(_messages(spark, sf))
-    return s.select("platform", F.unix_millis("started").alias("started_ms"), F.unix_millis("ended").alias("ended_ms"), "messages")
+    return s.select("platform", "url", F.unix_millis("started").alias("started_ms"), F.unix_millis("ended").alias("ended_ms"), "messages")
 
 
 @query(f"WITH {_MSG} SELECT platform, CAST(floor(timestamp / 3600000) * 3600 AS BIGINT) AS hour, count(*) AS messages FROM m GROUP BY ALL")

@@ -29,9 +29,9 @@ def fingerprinted(m: DataFrame) -> DataFrame:
 
 
 def deduplicated(m: DataFrame) -> DataFrame:
-    """Batch: the first message of each fingerprint in time; ties by message_id."""
-    first = F.row_number().over(W.partitionBy("print").orderBy(F.col("timestamp").asc_nulls_last(), "message_id"))
-    return m.withColumn("n", first).filter("n = 1").drop("n")
+    """Batch: the first message of each fingerprint in time (unknown times last); ties by message_id. Combined before the shuffle, so a message that is repeated very often does no harm."""
+    order = F.struct(F.col("timestamp").isNull(), "timestamp", "message_id")
+    return m.groupBy("print").agg(F.min_by(F.struct(*[c for c in m.columns if c != "print"]), order).alias("m")).select("m.*", "print")
 
 
 def deduplicated_stream(m: DataFrame, hours: int = DEDUP_HOURS) -> DataFrame:
@@ -49,8 +49,9 @@ def memory_rows(m: DataFrame) -> DataFrame:
 
 
 def sessions(m: DataFrame, quiet: str = QUIET) -> DataFrame:
-    """(platform, started, ended, messages): bursts without a pause of ``quiet``."""
-    return m.groupBy("platform", F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("messages")).select("platform", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "messages")
+    """(platform, url, started, ended, messages): bursts on a page without a pause of ``quiet``; pages are many, so no task meets a whole platform."""
+    page = m.withColumn("url", F.coalesce("url", F.lit("")))
+    return page.groupBy("platform", "url", F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("messages")).select("platform", "url", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "messages")
 
 
 def rates(m: DataFrame, length: str, slide: str | None = None) -> DataFrame:
