@@ -9,7 +9,7 @@ divided by the usual ratio of sentences of the same language and length, a media
 documents. A block whose normalized ratio is below REDUNDANT is extremely redundant; it is
 confirmed if less than half of its characters stand in sentences (a sentence ends with
 sentence punctuation and has at least SENTENCE_WORDS words) and fewer than NUMBERS of its
-words are bare numbers: logs, tables and configuration are redundant, too, but are records.
+words are bare numbers (those that number a list's items apart): logs, tables and configuration are redundant, too, but are records.
 A page is reported if confirmed blocks hold more than half of its characters.
 
 References and tag lines under an article are confirmed blocks but do not reach half of
@@ -38,6 +38,7 @@ _TAG = re.compile(r"(?<![\w#])#\w+")
 _ENUMERATED = re.compile(r"(?:\w[\w'-]*(?: [\w'-]+)?(?:, |，|、| · )){7,}\w[\w'-]*")
 _ITEM = re.compile(r"[^,，、·]+")
 _CODE = re.compile(r"\b[A-Z]{2,}[-_]?\d+\b")
+_MARKER = re.compile(r"^[ \t]*(?:[-*+] +)?(?:\d{1,4}[.)、．]|[(\[（]\d{1,4}[)\]）])(?!\d)[ \t]*", re.M)
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _SPACE = re.compile(r"\s")
 _IDEO = re.compile(r"[一-鿿]")
@@ -96,8 +97,8 @@ def sentence_share(block: str) -> float:
 
 
 def number_share(block: str) -> float:
-    """Share of bare numbers among a block's words, links, hashtags and article codes apart."""
-    found = _WORD.findall(_symbols(block))
+    """Share of bare numbers among a block's words; links, hashtags, article codes and the numbers of an ordered list's items apart."""
+    found = _WORD.findall(_MARKER.sub("", _symbols(block)))
     return sum(w.isdigit() for w in found) / max(1, len(found))
 
 

@@ -53,3 +53,16 @@ def test_blocks_are_the_text():
     for t in [*PROSE.values(), *SPAM.values(), *filter(None, FINE.values()), "x" * 5000, "\n" * 500, "a\n\nb"]:
         assert "".join(sp.blocks(t)) == t
         assert all(len(b) <= 2 * sp.BLOCK for b in sp.blocks(t))
+
+
+def test_ordered_link_lists(spark):
+    """The numbers of a list's items are no record's numbers; those of a numbered log or table are."""
+    marks = ("1.", "{}.", "{})", "[{}]", "({})", "- {}.")
+    lists = {300 + k: "\n".join(f"{m.format(i + 1)} [{RNG.choice(NOUNS)} {RNG.choice(NOUNS)}]({url()})" for i in range(30)) for k, m in enumerate(marks)}
+    records = {
+        400: "\n".join(f"[{i + 1}] 10:{RNG.randrange(10, 59)}:{RNG.randrange(10, 59)} INFO {RNG.choice(NOUNS)} {RNG.choice(VERBS)} {RNG.randrange(900)} ms" for i in range(40)),
+        401: "\n".join(f"{i + 1}. {RNG.choice(NOUNS)} | {RNG.randrange(999)} | {RNG.randrange(99)}" for i in range(40)),
+        402: "\n".join(f"{RNG.randrange(99)}.{RNG.randrange(99)} {RNG.choice(NOUNS)} {RNG.randrange(99)}" for _ in range(60)),
+    }
+    got = {r["doc_id"] for r in sp.stuffed_pages(frame(spark, PROSE | lists | records)).collect()}
+    assert got == set(lists)
