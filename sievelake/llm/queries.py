@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.nearest(table(spark, sf, "vectors"), "memory_id", "vector", DIM, K).select("id", "neighbour", F.round("score", 3).alias("score"), "rank")
+    return curves.exact_nearest(table(spark, sf, "vectors"), "memory_id", "vector", DIM, K).select("id", "neighbour", F.round("score", 3).alias("score"), "rank")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -101,3 +101,21 @@ def test_windows_cross_range_boundaries():
         near = set(order[bound - 400 : bound]) - set(np.nonzero(key == key[order[bound - 1]])[0])
         assert near <= set(after[0][after[1] == part + 1])
         assert len(set(order[bound : bound + 400]) - set(before[0][before[1] == part])) < 40
+
+
+def test_exact_finds_far_neighbours(spark, monkeypatch):
+    """Lists of ten are the true ones, with hardly similar vectors, more rows than any window and copies among them."""
+    for name, v in (("EXACT_FILE", 500), ("EXACT_FILES", 3), ("EXACT_ROWS", 100), ("EXACT_BASE", 300)):
+        monkeypatch.setattr(curves, name, v)
+    x = np.random.default_rng(4).standard_normal((3000, 32)).astype(np.float32)
+    x[1000:1040] = x[7]
+    x[50] = x[60]
+    ids = [f"m{i:04}" for i in range(len(x))]
+    by = {}
+    for r in curves.exact_nearest(frame(spark, ids, x), "memory_id", "vector", 32, 10).collect():
+        by.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    s = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(s @ s.T, 6)
+    np.fill_diagonal(s, -2)
+    want = {ids[i]: [ids[j] for j in np.argsort(-s[i], kind="stable")[:10]] for i in range(len(ids))}
+    assert {i: [v[r] for r in range(1, 11)] for i, v in by.items()} == want
