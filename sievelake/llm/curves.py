@@ -4,7 +4,9 @@ Vectors are scaled to unit length and projected to DIMS dimensions by a differen
 orthonormal projection for each curve. Grid cells of the shifted projections are numbered
 along a Hilbert curve; Spark range-partitions the keys of each curve, sorts them, and a
 window over neighbouring keys compares every vector with those before and after it. The
-curves' windows are merged by vector and reranked by cosine.
+curves' windows are merged by vector and reranked by cosine. Equal vectors (as half-precision
+bytes) are one on the curves, so that copies neither fill windows nor gather at a key; ids
+come back after the merge.
 
 The projections' scales and the range boundaries come from a bounded sample of SAMPLE
 vectors; every vector is indexed. Similarities come from half-precision unit vectors
@@ -279,7 +281,7 @@ def exact_nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 1
 
 def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, least: float = -1.0) -> DataFrame:
     """(id, neighbour, score, rank): the k most similar ids of every usable vector with a cosine of at least ``least``."""
-    units = unit_vectors(df, id_col, vec_col, dim)
+    members, firsts, reps = _groups(unit_vectors(df, id_col, vec_col, dim), k)
     n = df.count()
     ranges = max(1, math.ceil(n / RANGE_ROWS))
     drawn = df.select(F.col(id_col).cast("string").alias("id"), vec_col).filter(F.size(vec_col) == dim)
@@ -299,18 +301,13 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, lea
                             yield pa.record_batch([pa.array((c * curves.ranges + at).astype(np.int32)), pa.array(key[rows]), b.column(0).take(take), b.column(1).take(take), pa.array(np.full(len(rows), own))], names=["part", "key", "id", "vec", "own"])
 
     placed = (
-        units.select(F.xxhash64("id").alias("id"), "vec").mapInArrow(keyed, "part int, key long, id long, vec binary, own boolean")
+        reps.select(F.col("gid").alias("id"), "vec").mapInArrow(keyed, "part int, key long, id long, vec binary, own boolean")
         .repartitionById(CURVES * ranges, F.col("part")).sortWithinPartitions("part", "key", "id")
     )
-    found = placed.select("part", "id", "vec", "own").mapInPandas(lambda it: _scan(it, k, least), "a long, b long, score float")
+    found = placed.select("part", "id", "vec", "own").mapInPandas(lambda it: _scan(it, k + TIES, least), "a long, b long, score float")
     best = found.groupBy("a", "b").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("rank") <= k)
-    names = df.select(F.col(id_col).cast("string").alias("name")).filter("name IS NOT NULL").distinct().select("name", F.xxhash64("name").alias("h"))
-    return (
-        ranked.join(names.select(F.col("h").alias("a"), F.col("name").alias("id")), "a")
-        .join(names.select(F.col("h").alias("b"), F.col("name").alias("neighbour")), "b")
-        .select("id", "neighbour", F.col("score").cast("double").alias("score"), "rank")
-    )
+    ranked = best.withColumn("at", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("at") <= k + TIES)
+    return _expanded(members, firsts, ranked.select("a", "b", "score"), k)
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int, least: float) -> DataFrame:

@@ -119,3 +119,25 @@ def test_exact_finds_far_neighbours(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     want = {ids[i]: [ids[j] for j in np.argsort(-s[i], kind="stable")[:10]] for i in range(len(ids))}
     assert {i: [v[r] for r in range(1, 11)] for i, v in by.items()} == want
+
+
+def test_neighbours_around_hot_copies(spark, monkeypatch):
+    """Copies on one place of the curves don't keep the distinct vectors before and after them apart."""
+    for name, v in (("WINDOW", 64), ("BLOCK", 128)):
+        monkeypatch.setattr(curves, name, v)
+    rng = np.random.default_rng(5)
+    hot = rng.standard_normal(16)
+    around = hot + 0.25 * rng.standard_normal((60, 16))
+    x = np.concatenate([np.tile(hot, (1000, 1)), around, rng.standard_normal((600, 16))])
+    ids = [f"z{i:04}" for i in range(1000)] + [f"a{i:03}" for i in range(660)]
+    by = {}
+    for r in curves.nearest(frame(spark, ids, x), "memory_id", "vector", 16, 10, 0.85).collect():
+        by.setdefault(r["id"], set()).add(r["neighbour"])
+    s = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = s @ s.T
+    np.fill_diagonal(s, -2)
+    assert all(by[i] <= set(ids[:11]) and len(by[i]) == 10 for i in ids[:1000])
+    assert by["z0999"] == set(ids[:10]) and by["z0003"] == set(ids[:11]) - {"z0003"}
+    want = {(ids[i], ids[j]) for i in range(1000, 1660) for j in np.lexsort((np.array(ids), -np.round(s[i], 4)))[:10] if s[i, j] >= 0.85}
+    distinct = {(i, j) for i, j in want if j[0] == "a"}
+    assert len(distinct) > 50 and len({(i, j) for i, j in distinct if j in by.get(i, ())}) >= 0.95 * len(distinct)
