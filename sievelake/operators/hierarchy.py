@@ -30,18 +30,20 @@ def links(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     return d.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"))
 
 
-def levels(link: DataFrame, with_path: bool = False, sep: str = "/") -> tuple[DataFrame, DataFrame]:
-    """(reached, rest): reached (id, root_id, depth[, path]); rest the links (id, parent) no root leads to.
+def levels(link: DataFrame, with_path: bool = False, sep: str = "/", carry: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """(reached, rest): reached (id, root_id, depth[, path][, carried]); rest the links (id, parent) no root leads to.
 
-    ``link`` has to be a table already written: every level reads it.
+    ``link`` has to be a table already written: every level reads it. ``carry`` has (name, value at a
+    root, value below) of further columns handed down; the values below see the link's own columns and
+    what its parent carries, with the parent's depth.
     """
+    if with_path:
+        carry = (("path", F.col("id"), F.concat_ws(sep, "path", "id")), *carry)
     total = link.count()
     edges = link.filter("parent IS NOT NULL")
     hot = [r["parent"] for r in edges.groupBy("parent").count().filter(F.col("count") > max(1000, total // HOT)).select("parent").collect()]  # at most HOT rows
     salt = lambda key: F.when(F.col(key).isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
-    keep = ["id", "root_id", "depth"] + ["path"] * with_path
-    frontier = link.filter("parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *[F.col("id").alias("path")] * with_path)
-    frontier = cut(frontier.select(keep))
+    frontier = cut(link.filter("parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *[top.alias(c) for c, top, _ in carry]))
     reached, waiting, held, since = [frontier], edges, total, [frontier]
     n = frontier.count()
     left = total - n
@@ -49,7 +51,7 @@ def levels(link: DataFrame, with_path: bool = False, sep: str = "/") -> tuple[Da
         salts = F.when(F.col("id").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
         up = frontier.withColumn("part", F.explode(salts)).withColumnRenamed("id", "parent")
         down = waiting.withColumn("part", salt("parent").cast("int")).join(up, ["parent", "part"])
-        frontier = cut(down.select("id", "root_id", (F.col("depth") + 1).alias("depth"), *[F.concat_ws(sep, "path", "id").alias("path")] * with_path))
+        frontier = cut(down.select("id", "root_id", (F.col("depth") + 1).alias("depth"), *[below.alias(c) for c, _, below in carry]))
         n = frontier.count()
         left -= n
         reached.append(frontier)
@@ -132,3 +134,36 @@ def check_paths(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id"
         .when(F.startswith("path", F.concat("up_path", F.lit("/"))) | (F.col("path") == F.col("up_path")), "ok").otherwise("stale").alias("path_state"),
         F.when(F.col("level").isNull() | F.col("path").isNull(), "missing").when(F.col("level") == slashes, "ok").otherwise("wrong").alias("level_state"),
     )
+
+
+def check_hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", path_col: str = "hierarchy_path", level_col: str = "hierarchy_level") -> DataFrame:
+    """(id, depth, expected_level, path_state, level_state): the stored path and level against the way up.
+
+    Each step down adds one segment to the path. The nearest ancestor with a sound stored path is
+    handed down level by level: a stored path is 'ok' (and sound) if it is that path and as many further
+    segments as there are steps, else 'stale', with all paths below that go on from it. The
+    first stored path on a way down has nothing above it to be compared with: it is 'unchecked', and
+    taken as sound. A level is 'ok' if it is the sound path's segments and the steps from there, 'wrong'
+    if not, 'unchecked' where the way up stores no path at all. Null or empty: 'missing'. On and under
+    loops, where there is no depth, both are 'loop'.
+    """
+    d = df.select(F.col(id_col).alias("id"), F.nullif(F.col(path_col), F.lit("")).alias("own"), F.col(level_col).alias("level")).filter("id IS NOT NULL")
+    d = d.groupBy("id").agg(F.rtrim(F.min("own"), F.lit("/")).alias("own"), F.min("level").alias("level"))
+    link = materialize(links(df, id_col, parent_col).join(d, "id"), "links")
+    slashes = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/")))
+    own, sound, at = F.col("own"), F.col("sound"), F.col("at")
+    steps = F.col("depth") + 1 - at
+    fits = F.coalesce(F.when(sound.isNull(), own.isNotNull()).otherwise(F.startswith(own, F.concat(sound, F.lit("/"))) & (slashes(own) == slashes(sound) + steps)), F.lit(False))
+    carry = (
+        ("sound", own, F.when(fits, own).otherwise(sound)),
+        ("at", F.when(own.isNotNull(), 0), F.when(fits, F.col("depth") + 1).otherwise(at)),
+        ("above", F.lit(False), sound.isNotNull()),
+    )
+    reached, _ = levels(link.select("id", "parent", "own"), carry=carry)
+    expected = slashes(sound) + F.col("depth") - at
+    on_loop = F.col("depth").isNull()
+    return link.select("id", "own", "level").join(reached, "id", "left").select(
+        "id", F.coalesce("depth", F.lit(-1)).alias("depth"), expected.alias("expected_level"),
+        F.when(on_loop, "loop").when(own.isNull(), "missing").when(at != F.col("depth"), "stale").when(F.col("above"), "ok").otherwise("unchecked").alias("path_state"),
+        F.when(on_loop, "loop").when(F.col("level").isNull(), "missing").when(expected.isNull(), "unchecked").when(F.col("level") == expected, "ok").otherwise("wrong").alias("level_state"),
+    )

@@ -33,6 +33,11 @@ def p4_path_check(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.check_paths(table(spark, sf, "memories"))
 
 
+def p4_hierarchy_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored paths and levels against depth and the nearest sound ancestor; p4_path_check and its SQL look at the parent's stored path only."""
+    return hierarchy.check_hierarchy(table(spark, sf, "memories"))
+
+
 def _failing(spark: SparkSession, sf: str) -> DataFrame:
     m, v = table(spark, sf, "memories"), table(spark, sf, "vectors")
     refs = m.select(F.lit("memories").alias("ref_table"), F.col("id").alias("ref_id"), F.col("parent_id").alias("target_id"), seconds(F.col("timestamp")).alias("ref_ts")).unionByName(
@@ -49,7 +54,7 @@ def p5_monthly(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.monthly_misses(_failing(spark, sf).distinct())
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p4_descendant_counts, p4_path_check, p5_found, p5_monthly)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p4_descendant_counts, p4_path_check, p4_hierarchy_check, p5_found, p5_monthly)}
 
 _SEC = "CASE WHEN {0} = 0 THEN NULL WHEN abs({0}) >= 100000000000 THEN CAST(floor({0} / 1000) AS BIGINT) ELSE {0} END"
 _UP = (

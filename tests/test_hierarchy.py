@@ -97,3 +97,19 @@ def test_components(spark):
         low[root(x)] = min(low.get(root(x), x), x)
     assert got == {x: low[root(x)] for x in nodes}
     assert connected_components(spark.createDataFrame([], "src string, dst string")).select(F.count("*")).first()[0] == 0
+
+
+def test_check_against_the_way_up(spark):
+    rows = [
+        ("a", None, "/p", 1), ("b", "a", "/z/q", 2), ("c", "b", "/z/q/r", 3), ("d", "b", "/p/q/r", 3),  # b stale; c goes on from it, d is sound
+        ("e", "a", "/p/q/r", 3), ("f", "a", "/p", 1), ("g", "a", None, 2), ("h", "g", "/p/q/s", 3), ("i", "g", "/p/s", 2),  # a segment too many, none, and below a missing path
+        ("m", "gone", None, 0), ("n", "m", "/k/l", 2), ("o", "n", "/k/l/m", None), ("s", "s", "/s", 1), ("t", "s", None, 1),
+    ]
+    df = spark.createDataFrame(rows, "id string, parent_id string, hierarchy_path string, hierarchy_level int")
+    got = {r["id"]: (r["depth"], r["path_state"], r["level_state"]) for r in hierarchy.check_hierarchy(df).collect()}
+    assert got == {
+        "a": (0, "unchecked", "ok"), "b": (1, "stale", "ok"), "c": (2, "stale", "ok"), "d": (2, "ok", "ok"), "e": (1, "stale", "wrong"), "f": (1, "stale", "wrong"), "g": (1, "missing", "ok"),
+        "h": (2, "ok", "ok"), "i": (2, "stale", "wrong"), "m": (0, "missing", "unchecked"), "n": (1, "unchecked", "ok"), "o": (2, "ok", "missing"), "s": (-1, "loop", "loop"), "t": (-1, "loop", "loop"),
+    }
+    old = {r["id"]: r["path_state"] for r in hierarchy.check_paths(df).collect()}
+    assert [old[i] for i in "cefh"] == ["ok", "ok", "ok", "unchecked"]  # what looking at the parent's stored path alone says
