@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import scoring, text as tx, vectors as vx
 from sievelake.operators import evaluation, fulltext, fusion, path_search as ps, quality, rerank as rr, retrieval, tree_search as ts, vector_search as vs
 from sievelake.operators.posting_index import PostingIndex
-from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors
+from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors, whole, whole_cases
 from sievelake.session import cut, shared_dir
 from sievelake.sources.files import Settings
 from sievelake.sources.tables import table
@@ -130,6 +130,12 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.top_k(_text(spark, sf), K)
 
 
+@query(whole(sql(top("bm"), "bm")))
+def bm25_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The cases' whole queries; few have hits."""
+    return fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), whole_cases(spark, sf)), K)
+
+
 @query(sql(top("bm"), "bm"))
 def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """The same from a stored index: built in two batches, the first of which holds some documents in an older wording."""
@@ -171,6 +177,19 @@ def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.phrase_hits(docs(spark, sf, "text"), q)
 
 
+RUN = 5
+_RUNS = f"SELECT item_id || '#' || s AS query_id, w[s:s + {RUN - 1}] AS q FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {RUN - 1}, 1) + 1)) AS s FROM (SELECT item_id, {WORDS.format('passage')} AS w FROM eval_cases))"
+_RUN_TERMS = f"SELECT query_id, len(q) AS n, unnest(range(0, len(q))) AS i, unnest(q) AS term FROM ({_RUNS})"
+
+
+@query(sql(f", p AS ({_RUN_TERMS}), t AS (SELECT id, unnest(range(0, len(w))) AS pos, unnest(w) AS term FROM w), h AS (SELECT query_id, n, id, pos - i AS s0 FROM p JOIN t USING (term) GROUP BY ALL HAVING count(*) = n) SELECT query_id, id, count(*) AS starts FROM h GROUP BY ALL", "w"))
+def bm25_phrase_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Memories that hold any RUN consecutive words of an item's passage as a phrase; query_id is item#place."""
+    w = whole_cases(spark, sf).select("query_id", fulltext.words(F.col("passage")).alias("w"))
+    at = w.select("query_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (RUN - 1), F.lit(1)))).alias("s"))
+    return fulltext.phrase_hits(docs(spark, sf, "text"), at.select(F.concat_ws("#", "query_id", "s").alias("query_id"), F.array_join(F.slice("w", F.col("s"), RUN), " ").alias("query")))
+
+
 @query(sql("SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(w) AS term FROM w) GROUP BY term", "w"))
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.term_stats(docs(spark, sf, "text"))

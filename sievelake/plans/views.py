@@ -35,6 +35,11 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("query", F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2), " "))
 
 
+def whole_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Eval cases with their query as it stands."""
+    return table(spark, sf, "eval_cases").withColumnRenamed("item_id", "query_id")
+
+
 def examples(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, id): of each case, the first memory with a vector that holds its first expected term as a word; written, being asked for several times."""
     asked = table(spark, sf, "eval_cases").select(F.col("item_id").alias("query_id"), F.lower(F.try_element_at("expected_terms", F.lit(1))).alias("term"))
@@ -95,6 +100,11 @@ def sql(body: str, *names: str) -> str:
     return head + (body if body.startswith(",") else f" {body}")  # a body that begins with a comma has further subqueries
 
 
+def whole(statement: str) -> str:
+    """The statement with the whole query texts instead of their last two words."""
+    return statement.replace("[-2:]", "")
+
+
 def top(source: str, k: int = K, by: str = "query_id") -> str:
     """SELECT of the k best rows of each query of a subquery (query_id, id, score)."""
     return f"SELECT * FROM (SELECT {by}, id, round(score, 6) AS score, row_number() OVER (PARTITION BY {by} ORDER BY round(score, 6) DESC, id) AS rank FROM {source}) WHERE rank <= {k}"

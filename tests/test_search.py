@@ -201,3 +201,17 @@ def test_posting_index_follows_writes(spark, tmp_path):
     same(now.filter("id <> 'b'"))
     index = index.compact(str(tmp_path / "ix2"))
     same(now.filter("id <> 'b'"))
+
+
+def test_whole_queries(spark, tmp_path):
+    """A case is asked with all its words, and any run of a passage counts."""
+    from sievelake.plans import catalogue
+
+    text = "one two three four five six"
+    spark.createDataFrame([("m1", text, 1), ("m2", "x " + text, 1), ("m3", "other", 1)], "id string, text string, timestamp long").write.parquet(f"{tmp_path}/memories.parquet")
+    cases = [("c1", "s_1", "x one two", f"zero {text}", ["one"]), ("c2", "s_2", "absent one two", "p q", ["one"])]
+    spark.createDataFrame([(*c, 1, 1, 10, "/a") for c in cases], "item_id string, name string, query string, passage string, expected_terms array<string>, min_results int, topk_relevant int, k int, path string").write.parquet(f"{tmp_path}/eval_cases.parquet")
+    ask = lambda q: catalogue.QUERIES[q](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["id"]) for r in ask("bm25_topk_whole")} == {("c1", "m2")}
+    assert {r["query_id"]: (r["results"], r["passed"]) for r in ask("precision_at_k_whole")} == {"c1": (1, True), "c2": (0, False)}
+    assert {(r["query_id"], r["id"]) for r in ask("bm25_phrase_runs")} == {(f"c1#{s}", m) for s in (2, 3) for m in ("m1", "m2")}
