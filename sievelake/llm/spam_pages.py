@@ -1,19 +1,24 @@
 """Keyword-stuffed and link-list pages.
 
 Every text is cut into blocks of about BLOCK characters at line ends, or less where a
-paragraph of at least PARAGRAPH characters ends. A block is compressed
-with its surroundings as dictionary; links, hashtags, article codes and the items of a bare
-enumeration (eight or more items of one or two words) count as one symbol each, because a
-list of them is a list whatever it names. The ratio to the block's size is
-divided by the usual ratio of sentences of the same language and length, a median over all
-documents. A block whose normalized ratio is below REDUNDANT is extremely redundant; it is
-confirmed if less than half of its characters stand in sentences (a sentence ends with
-sentence punctuation and has at least SENTENCE_WORDS words) and fewer than NUMBERS of its
-words are bare numbers (those that number a list's items apart): logs, tables and configuration are redundant, too, but are records.
-A page is reported if confirmed blocks hold more than half of its characters.
-
-References and tag lines under an article are confirmed blocks but do not reach half of
-the page.
+paragraph of at least PARAGRAPH characters ends. Words that fewer than one in COMMON
+documents hold are brought to one placeholder first, and so are tokens that mix letters with
+other characters inside (addresses, markup, numbers of articles), their digits apart: what a
+list names then reads alike, whatever it names, while numbers, marks and common words keep
+their entropy; the numbers of an ordered list's items are left out. A page's
+blocks go through one compressor one after the other, so a block's compressed size is what it
+adds to the text before it (the first block: to the text after it). The ratio to the block's
+own size is divided by the usual ratio of sentences of the same language and length, a median
+over all documents. A block below REDUNDANT is extremely redundant; it is confirmed if less
+than half of its characters stand in sentences (a sentence ends with sentence punctuation and
+has at least SENTENCE_WORDS words). A page is reported if confirmed blocks hold more than half
+of its characters.
+
+Logs, tables and configuration have few sentences, too, but their numbers and values do not
+compress; references and tag lines under an article do not reach half of the page.
+
+Document frequencies count all documents. Common words are broadcast; there are at most COMMON
+times as many as a document has distinct words on average.
 
 Null and empty texts are never reported. Texts are read whole, whatever their length.
 """
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,28 +35,33 @@ from pyspark.sql import functions as F
 
 from sievelake.session import materialize
 
-BLOCK, PARAGRAPH, BEFORE, AFTER = 300, 80, 1200, 800
-REDUNDANT, SENTENCE_WORDS, NUMBERS, SHARE = 0.8, 6, 0.15, 0.5
+BLOCK, PARAGRAPH, COMMON = 300, 40, 50
+REDUNDANT, SENTENCE_WORDS, SHARE = 0.6, 6, 0.5
 LENGTHS = (60, 120, 200, 300, 450)
+PLACEHOLDER = "\x01"
 
-_LINK = re.compile(r"""<a\s[^>]*>|</a>|(?:https?://|www\.)[^\s<>")\]]+""")
-_TAG = re.compile(r"(?<![\w#])#\w+")
-_ENUMERATED = re.compile(r"(?:\w[\w'-]*(?: [\w'-]+)?(?:, |，|、| · )){7,}\w[\w'-]*")
-_ITEM = re.compile(r"[^,，、·]+")
-_CODE = re.compile(r"\b[A-Z]{2,}[-_]?\d+\b")
-_MARKER = re.compile(r"^[ \t]*(?:[-*+] +)?(?:\d{1,4}[.)、．]|[(\[（]\d{1,4}[)\]）])(?!\d)[ \t]*", re.M)
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _SPACE = re.compile(r"\s")
 _IDEO = re.compile(r"[一-鿿]")
-_SENTENCE = re.compile(r"[^.!?;。！？；…]+[.!?;。！？；…]+")
-_WORD = re.compile(r"[一-鿿]|\w+")
+_WORD = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
+_PIECE = re.compile(r"[一-鿿]|[^\s一-鿿\u3000-\u303f\uff00-\uffef]+|[\s\u3000-\u303f\uff00-\uffef]+")
+_PART = re.compile(r"[^\W\d_]+")
+#: The number of a list's item, at a line's start.
+_MARKER = re.compile(r"^[ \t]*(?:[-*+] +)?(?:\d{1,4}[.)、．]|[(\[（]\d{1,4}[)\]）])(?!\d)[ \t]*", re.M)
+_NO_DIGIT = re.compile(r"\D+")
+#: What may stand around a word.
+_AROUND = "()\"'[]{}.,;:!?…*_`~|·—–-«»“”‘’¿¡"
+#: Lower-case words count as common from so many documents on, however small the collection.
+LEAST_DOCUMENTS = 3
+#: A sentence ends with its mark before white space, or with an ideographic mark; a line that goes on in lower case goes on.
+_END = re.compile(r"(?<=[.!?;…])\s+|(?<=[。！？；])|\n(?![^\W\d_A-Z])")
+_MARK = ".!?;…。！？；"
 
 
 def blocks(text: str) -> list[str]:
     """The text in pieces that together are the text; long lines are cut at white space."""
     out, cur = [], ""
-    for m in _LINE.finditer(text):
-        line = m[0]
+    for line in _LINE.findall(text):
         while len(line) > BLOCK * 3 // 2:
             space = _SPACE.search(line, BLOCK, BLOCK + 80)
             end = space.end() if space else BLOCK
@@ -63,43 +74,61 @@ def blocks(text: str) -> list[str]:
         if len(cur) >= BLOCK or (len(cur) >= PARAGRAPH and not line.strip()):
             out.append(cur)
             cur = ""
-    if len(cur) < BLOCK // 4 and out:
+    if len(cur) < PARAGRAPH and out:
         out[-1] += cur
     elif cur:
         out.append(cur)
     return out
 
 
-def _symbols(s: str) -> str:
-    return _CODE.sub("\x02", _TAG.sub("\x03", _LINK.sub("\x01", s)))
+class Reduced(dict):
+    """Pieces of text and what they become; filled as they are met."""
 
+    def __init__(self, common: frozenset[str]):
+        self.common = common
 
-def _compressed(own: str, around: str) -> int:
-    d = around.encode()
-    z = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_DEFAULT_STRATEGY, d) if d else zlib.compressobj(9, zlib.DEFLATED, -15, 9)
-    return len(z.compress(own.encode()) + z.flush())
+    def __missing__(self, piece: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        out = self[piece] = self.reduced(piece)
+        return out
 
+    def word(self, m: re.Match) -> str:
+        return m[0] if m[0].lower() in self.common else PLACEHOLDER
 
-def redundancy(block: str, before: str, after: str) -> float:
-    """Compressed size of the block, given what surrounds it, over its own size in bytes; the smaller one with and without enumerated items as symbols."""
-    own, around = _symbols(block), _symbols(after) + _symbols(before)
-    size = _compressed(own, around)
-    listed = _ENUMERATED.sub(lambda m: _ITEM.sub("\x04", m[0]), own)
-    if listed != own:
-        size = min(size, _compressed(listed, around))
-    return size / max(1, len(block.encode()) - sum(len(c) - 1 for c in _CODE.findall(block)))
+    def reduced(self, piece: str) -> str:
+        core = piece.strip(_AROUND)
+        if not any(c.isalpha() for c in core):
+            return piece
+        if piece[0] not in "#@" and re.sub(r"[-'’_]", "", core).isalpha():  # a word, or words joined to a name
+            return _PART.sub(self.word, piece)
+        return PLACEHOLDER + _NO_DIGIT.sub("", core)
 
+    def text(self, s: str) -> bytes:
+        return "".join(map(self.__getitem__, _PIECE.findall(_MARKER.sub("", s)))).encode()
 
-def sentence_share(block: str) -> float:
-    """Share of characters, links apart, that stand in sentences of at least SENTENCE_WORDS words."""
-    plain = _TAG.sub("\x03", _LINK.sub("\x01", block))
-    return sum(len(s) for s in _SENTENCE.findall(plain) if len(_WORD.findall(s)) >= SENTENCE_WORDS) / max(1, len(plain))
 
+def compressed_sizes(parts: list[bytes]) -> list[int]:
+    """What each part adds, compressed, to those before it; the first to those after it."""
+
+    def start(d: bytes):
+        return zlib.compressobj(6, zlib.DEFLATED, -12, 5, zlib.Z_DEFAULT_STRATEGY, d) if d else zlib.compressobj(6, zlib.DEFLATED, -12, 5)
 
-def number_share(block: str) -> float:
-    """Share of bare numbers among a block's words; links, hashtags, article codes and the numbers of an ordered list's items apart."""
-    found = _WORD.findall(_MARKER.sub("", _symbols(block)))
-    return sum(w.isdigit() for w in found) / max(1, len(found))
+    z = start(b"".join(parts[1:4]))
+    out = [len(z.compress(parts[0])) + len(z.flush(zlib.Z_SYNC_FLUSH))]
+    if len(parts) > 1:
+        z = start(parts[0])
+        out += [len(z.compress(p)) + len(z.flush(zlib.Z_SYNC_FLUSH)) for p in parts[1:]]
+    return out
+
+
+def sentence_share(block: str) -> float:
+    """Share of characters that stand in sentences of at least SENTENCE_WORDS words."""
+    held = 0
+    for s in _END.split(block):
+        if s and s[-1] in _MARK and (len(s.split()) >= SENTENCE_WORDS or (not s.isascii() and len(_IDEO.findall(s)) >= SENTENCE_WORDS)):
+            held += len(s)
+    return held / max(1, len(block.strip()))
 
 
 def language(lang: Column) -> Column:
@@ -108,25 +137,40 @@ def language(lang: Column) -> Column:
     return F.when(F.length(two) == 2, two).otherwise("xx")
 
 
+def common_words(docs: DataFrame) -> frozenset[str]:
+    """Lower-case words that at least one in COMMON documents holds."""
+
+    def count(batches):
+        for pdf in batches:
+            n = Counter()
+            for t in pdf["text"]:
+                n.update(set(_WORD.findall(t.lower())))
+            yield pd.DataFrame({"word": list(n.keys()), "n": list(n.values())})
+
+    texts = docs.select("text")
+    held = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r["word"] for r in held.filter(F.col("n") >= max(LEAST_DOCUMENTS, texts.count() / COMMON)).select("word").collect())
+
+
 def block_features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, size_class, chars, ratio, in_sentences, numbers), one row for each block."""
+    """(doc_id, lang, size_class, chars, ratio, in_sentences), one row for each block."""
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), language(F.col(lang_col)).alias("lang")).filter(F.length("text") > 0)
+    held = documents.sparkSession.sparkContext.broadcast(common_words(docs))
 
     def run(batches):
+        reduced = Reduced(held.value)
         for pdf in batches:
             rows = []
             for doc, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
-                at = 0
-                for b in blocks(text):
-                    end = at + len(b)
-                    han = len(_IDEO.findall(b)) > 0.2 * len(b)
+                bs = blocks(text)
+                for b, size in zip(bs, compressed_sizes([reduced.text(b) for b in bs])):
+                    han = not b.isascii() and len(_IDEO.findall(b)) > 0.2 * len(b)
                     kind = "zh" if han else "xx" if lang == "zh" else lang
-                    rows.append((doc, kind, sum(len(b) >= x for x in LENGTHS), len(b), redundancy(b, text[max(0, at - BEFORE) : at], text[end : end + AFTER]), sentence_share(b), number_share(b)))
-                    at = end
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "size_class", "chars", "ratio", "in_sentences", "numbers"])
+                    rows.append((doc, kind, sum(len(b) >= x for x in LENGTHS), len(b), size / len(b.encode()), sentence_share(b)))
+            yield pd.DataFrame(rows, columns=["doc_id", "lang", "size_class", "chars", "ratio", "in_sentences"])
 
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), language(F.col(lang_col)).alias("lang")).filter(F.length("text") > 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, lang string, size_class int, chars int, ratio double, in_sentences double, numbers double")
+    return docs.mapInPandas(run, f"doc_id {kind}, lang string, size_class int, chars int, ratio double, in_sentences double")
 
 
 def usual_ratios(features: DataFrame) -> DataFrame:
@@ -143,7 +187,7 @@ def scored_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     usual = usual_ratios(f)
     any_lang = usual.groupBy("size_class").agg(F.percentile_approx("usual", 0.5).alias("usual_any"))
     rel = F.col("ratio") / F.coalesce("usual", "usual_any", F.lit(0.6))
-    stuffed = (rel < REDUNDANT) & (F.col("in_sentences") < 0.5) & (F.col("numbers") < NUMBERS)
+    stuffed = (rel < REDUNDANT) & (F.col("in_sentences") < 0.5)
     scored = f.join(usual, ["lang", "size_class"], "left").join(F.broadcast(any_lang), "size_class", "left")  # six rows
     by = scored.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum(F.when(stuffed, F.col("chars")).otherwise(0)).alias("stuffed_chars"))
     return by.withColumn("stuffed_share", F.col("stuffed_chars") / F.col("chars"))

@@ -66,3 +66,18 @@ def test_ordered_link_lists(spark):
     }
     got = {r["doc_id"] for r in sp.stuffed_pages(frame(spark, PROSE | lists | records)).collect()}
     assert got == set(lists)
+
+
+def test_the_ratio_decides(spark, monkeypatch):
+    """Without the compression test logs, tables and configuration are reported; without the sentences' test nothing else is."""
+    rows = frame(spark, PROSE | SPAM | FINE).cache()
+    monkeypatch.setattr(sp, "REDUNDANT", 99.0)
+    assert {r["doc_id"] for r in sp.stuffed_pages(rows).collect()} >= set(SPAM) | {202, 203, 205}
+    rows.unpersist()
+
+
+def test_hot_repeated_and_clashing(spark):
+    """A text under many ids, a repeated row, a very long text and columns with the names used inside."""
+    many = [(1000 + i, SPAM[100], "en", 0.5, 1) for i in range(60)] + [(1, PROSE[0] * 300, "en", 0.5, 1), (2, SPAM[106] * 300, "zh", 0.5, 1)] + [(10 + i, t, "en", 0.5, 1) for i, t in PROSE.items()]
+    df = spark.createDataFrame(many, "doc_id long, text string, lang string, ratio double, size_class int")
+    assert {r["doc_id"] for r in sp.stuffed_pages(df).collect()} == {1000 + i for i in range(60)} | {2}
