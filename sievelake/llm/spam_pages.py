@@ -17,8 +17,8 @@ of its characters.
 Logs, tables and configuration have few sentences, too, but their numbers and values do not
 compress; references and tag lines under an article do not reach half of the page.
 
-Document frequencies count all documents. Common words are broadcast; there are at most COMMON
-times as many as a document has distinct words on average.
+Document frequencies count all different texts. Common words are broadcast; there are at most
+COMMON times as many as a text has distinct words on average.
 
 Null and empty texts are never reported. Texts are read whole, whatever their length.
 """
@@ -138,18 +138,19 @@ def language(lang: Column) -> Column:
 
 
 def common_words(docs: DataFrame) -> frozenset[str]:
-    """Lower-case words that at least one in COMMON documents holds."""
+    """Lower-case words that at least one in COMMON different texts holds; copies of a text count once."""
 
     def count(batches):
         for pdf in batches:
-            n = Counter()
+            n = Counter({"": len(pdf)})  # under the empty word: texts
             for t in pdf["text"]:
                 n.update(set(_WORD.findall(t.lower())))
             yield pd.DataFrame({"word": list(n.keys()), "n": list(n.values())})
 
-    texts = docs.select("text")
-    held = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r["word"] for r in held.filter(F.col("n") >= max(LEAST_DOCUMENTS, texts.count() / COMMON)).select("word").collect())
+    held = docs.select("text").distinct().mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    held = materialize(held, "frequencies")
+    texts = held.filter("word = ''").select("n").first()
+    return frozenset(r["word"] for r in held.filter(F.col("n") >= max(LEAST_DOCUMENTS, texts["n"] / COMMON)).select("word").collect() if r["word"]) if texts else frozenset()
 
 
 def block_features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -174,11 +175,12 @@ def block_features(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def usual_ratios(features: DataFrame) -> DataFrame:
-    """(lang, size_class, usual): median ratio of blocks made of sentences, over all documents.
+    """(lang, size_class, usual): median over all documents of their blocks' mean ratio, of blocks made of sentences.
 
-    At most (languages x sizes) rows: language is two letters.
+    At most (languages x sizes) rows: language is two letters. A document counts once, however long.
     """
-    return features.filter("in_sentences >= 0.8").groupBy("lang", "size_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"))
+    each = features.filter("in_sentences >= 0.8").groupBy("doc_id", "lang", "size_class").agg(F.avg("ratio").alias("ratio"))
+    return each.groupBy("lang", "size_class").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"))
 
 
 def scored_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
