@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.exact_nearest(table(spark, sf, "vectors"), "memory_id", "vector", DIM, K).select("id", "neighbour", F.round("score", 3).alias("score"), "rank")
+    return curves.nearest(table(spark, sf, "vectors"), "memory_id", "vector", DIM, K, whole=True).select("id", "neighbour", F.round("score", 3).alias("score"), "rank")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,6 +121,12 @@ def sql() -> dict[str, str]:
             "r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM s) "
             "SELECT DISTINCT least(a, b) AS memory_id_a, greatest(a, b) AS memory_id_b FROM r WHERE rn <= 10 AND c >= 0.85"
         ),
+        # at this size every window holds all vectors
+        "p3_neighbours": (
+            "WITH v AS (SELECT memory_id, any_value(vector::DOUBLE[128]) AS v FROM vectors WHERE len(vector) = 128 AND len([x FOR x IN vector IF NOT isfinite(x)]) = 0 AND len([x FOR x IN vector IF x <> 0]) > 0 GROUP BY memory_id), "
+            "s AS (SELECT a.memory_id AS a, b.memory_id AS b, array_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.memory_id <> b.memory_id) "
+            "SELECT a AS id, b AS neighbour, round(c, 3) AS score, rank FROM (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS rank FROM s) WHERE rank <= 10"
+        ),
         "p6_found": leak_rows,
         # any usual tokenizer gives the same list: here ideographs, words, numbers and marks count as tokens
         "p7_found": (
