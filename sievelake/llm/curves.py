@@ -42,7 +42,7 @@ SAMPLE = 20_000
 #: Whole lists: number of curves, least window, and the rows up to which it is enough; beyond, windows grow with rows ** GROWTH.
 WIDE_CURVES, WIDE_WINDOW, WIDE_ROWS, GROWTH = 12, 2048, 175_000, 0.75
 #: Vectors of one curve that a range holds, about; a range never holds less than its windows need.
-RANGE_ROWS = 60_000
+RANGE_ROWS = 15_000
 #: Parts that the copies of a vector are dealt to when there are more than k.
 COPY_PARTS = 32
 #: Exact search: rows of a file, least number of files, rows of a block of queries and of a block they are compared with, candidates kept beyond k so that ties are settled by id.
@@ -229,16 +229,18 @@ def _groups(df: DataFrame, id_col: str, vec_col: str, dim: int, kind: str, k: in
 def _expanded(members: DataFrame, firsts: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, score, rank) from pairs of distinct vectors (a, b, score): copies come first, ties are ordered by id.
 
-    The list of k + 1 ids is made once for all copies of a vector; each copy leaves itself out. Lists
-    of vectors with more than k copies are repeated for COPY_PARTS parts of these copies.
+    The list of k + 1 ids is made once for all copies of a vector; each copy leaves itself out. A list
+    holds up to k copies itself; lists of vectors with more are repeated for COPY_PARTS parts of these copies.
     """
     other = found.join(firsts.filter(F.col("place") <= k).select(F.col("gid").alias("b"), "id"), "b").select(F.col("a").alias("gid"), "id", F.col("score").cast("double").alias("score"), F.lit(0).alias("place"))
     own = firsts.select("gid", "id", F.lit(1.0).alias("score"), "place")
     ranked = own.unionByName(other).withColumn("at", F.row_number().over(W.partitionBy("gid").orderBy((F.col("place") == 0), F.desc(F.round("score", 6)), "id"))).filter(F.col("at") <= k + 1)
-    lists = ranked.groupBy("gid").agg(F.max("place").alias("copies"), F.array_sort(F.collect_list(F.struct("at", "id", "score"))).alias("list"))
-    lists = lists.withColumn("part", F.explode(F.when(F.col("copies") > k, F.sequence(F.lit(1), F.lit(COPY_PARTS))).otherwise(F.array(F.lit(0)))))
-    asked = members.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1) + F.pmod(F.xxhash64("id"), F.lit(COPY_PARTS)).cast("int"))))
-    rest = asked.join(lists, ["gid", "part"]).select("id", F.slice(F.filter("list", lambda x: x["id"] != F.col("id")), 1, k).alias("list"))
+    lists = ranked.groupBy("gid").agg(F.max("place").alias("copies"), F.array_sort(F.collect_list(F.struct("at", "id", "score", "place"))).alias("list"))
+    lists = materialize(lists.filter(F.size("list") > 1), "lists")
+    few = lists.filter(F.col("copies") <= k).select(F.explode(F.filter("list", lambda x: x["place"] > 0)).alias("me"), "list").select("me.id", "list")
+    hot = lists.filter(F.col("copies") > k).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPY_PARTS - 1))))
+    many = members.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(COPY_PARTS)).cast("int")).join(hot, ["gid", "part"]).select("id", "list")
+    rest = few.unionByName(many).select("id", F.slice(F.filter("list", lambda x: x["id"] != F.col("id")), 1, k).alias("list"))
     return rest.select("id", F.posexplode("list").alias("rank", "x")).select("id", F.col("x.id").alias("neighbour"), F.col("x.score").alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
