@@ -47,12 +47,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_cases")).select("doc_id", "item_id", "windows", F.round("similarity", 6).alias("similarity"))
+    """Runs of words and whole passages with small edits."""
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_cases"), whole=True).select("doc_id", "item_id", "windows", F.round("similarity", 6).alias("similarity"))
 
 
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     """Leaked items and the documents that hold them, counted."""
-    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_cases")).groupBy("item_id").agg(F.count("*").alias("documents"), F.sum("windows").alias("windows"))
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_cases"), whole=True).groupBy("item_id").agg(F.count("*").alias("documents"), F.sum("windows").alias("windows"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

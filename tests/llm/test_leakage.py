@@ -86,3 +86,53 @@ def test_all_fingerprints_within_the_radius():
             feats = np.concatenate([w, (w[:-1] * lk._MIX[0]) ^ (w[1:] * lk._MIX[1])])
         slow.append(np.packbits(np.unpackbits(feats.view(np.uint8)).reshape(-1, 64).sum(0) * 2 > 2 * lk.WINDOW - 1).view(np.uint64)[0])
     assert (own == np.array(slow)).all()
+
+
+def shingle_sets(w, size):
+    return [frozenset(tuple(w[a + j : a + j + 5]) for j in range(size - 4)) for a in range(len(w) - size + 1)]
+
+
+def test_whole_items_with_small_edits(spark):
+    """Passages with a word changed, put in, left out or two swapped, of which some window of the item's size is at 0.8 or more: nine in ten are found."""
+    rng = random.Random(8)
+    items = [(f"i{k}", " ".join(text(rng, rng.randrange(60, 140)))) for k in range(60)]
+    docs, want = [], set()
+    for d in range(400):
+        item, passage = items[d % 60]
+        w = passage.split()
+        at = rng.randrange(8, len(w) - 8)
+        w = {0: w[:at] + ["new"] + w[at + 1 :], 1: w[:at] + ["new"] + w[at:], 2: w[:at] + w[at + 1 :], 3: w[:at] + [w[at + 1], w[at]] + w[at + 2 :]}[d % 4]
+        size = lk.item_size(len(passage.split()))
+        if max(len(a & b) / len(a | b) for a in shingle_sets(w, size) for b in shingle_sets(passage.split(), size)) >= 0.8:
+            want.add((d, item))
+        docs.append((d, " ".join(text(rng, rng.randrange(0, 90)) + w + text(rng, rng.randrange(0, 90)))))
+    got = {(r["doc_id"], r["item_id"]): r for r in lk.leaks(*frames(spark, docs, items), whole=True).collect()}
+    assert len(want) > 300 and set(got) <= {(d, items[d % 60][0]) for d in range(400)}
+    # runs of sixteen equal words find all of them; the windows of whole items alone, nine in ten
+    assert set(got) >= want
+    only = {(r["doc_id"], r["item_id"]) for r in whole_only(spark, docs, items)}
+    assert len(only & want) >= 0.9 * len(want)
+
+
+def whole_only(spark, docs, items):
+    old = lk.ItemIndex.__init__
+
+    def init(self, *a):
+        old(self, *a)
+        self.sizes = {}
+
+    lk.ItemIndex.__init__ = init
+    try:
+        return lk.leaks(*frames(spark, docs, items), whole=True).collect()
+    finally:
+        lk.ItemIndex.__init__ = old
+
+
+def test_windows_count_once(spark, monkeypatch):
+    """A short item at the seam of two pieces is one window."""
+    monkeypatch.setattr(lk, "PIECE", 20)
+    rng = random.Random(9)
+    for at in (14, 18, 19, 20, 21):
+        w = text(rng, 60)
+        docs = [(1, " ".join(w[:at] + "eins zwei drei vier fünf sechs".split() + w[at:]))]
+        assert [r["windows"] for r in lk.leaks(*frames(spark, docs, [("short", "eins zwei drei vier fünf sechs")])).collect()] == [1]
