@@ -18,8 +18,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """Every memory's values in one consistent form."""
-    return lookalike.canonical_values(table(spark, sf, "memories"), "id", FIELDS).select("id", "field", "canonical").distinct()
+    """Every memory's values, each as the canonical member of its class."""
+    return lookalike.canonical_values(table(spark, sf, "memories"), "id", FIELDS)
+
+
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of several spellings, with their canonical member and the memories that hold one."""
+    return lookalike.class_counts(table(spark, sf, "memories"), "id", FIELDS)
 
 
 def _with_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +82,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return spam_pages.scored_pages(table(spark, sf, "documents")).select("doc_id", "chars", "stuffed_chars", F.round("stuffed_share", 6).alias("stuffed_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p2_found, p2_groups, p3_found, p3_neighbours, p6_found, p6_leaks, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical, p1_classes, p2_found, p2_groups, p3_found, p3_neighbours, p6_found, p6_leaks, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_shares)}
 
 #: Words in DuckDB: ideographs are set apart first, because RE2 has no class subtraction.
 _WORDS = r"regexp_extract_all(regexp_replace(lower({0}), '([一-鿿])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
@@ -109,6 +114,8 @@ def sql() -> dict[str, str]:
     )
     return {
         "p1_found": f"WITH v AS ({form_rows}) SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM v a JOIN v b ON a.field = b.field AND a.form = b.form WHERE a.id < b.id AND a.value <> b.value",
+        "p1_canonical": f"WITH v AS ({form_rows}), c AS (SELECT field, form, min_by(value, (CASE WHEN value <> form THEN '1' ELSE '0' END) || md5(value)) AS canonical FROM v GROUP BY ALL) SELECT DISTINCT id, field, canonical FROM v JOIN c USING (field, form)",
+        "p1_classes": f"WITH v AS ({form_rows}) SELECT field, min_by(value, (CASE WHEN value <> form THEN '1' ELSE '0' END) || md5(value)) AS canonical, count(DISTINCT value) AS spellings, count(DISTINCT id) AS ids FROM v GROUP BY field, form HAVING count(DISTINCT value) > 1",
         "p2_found": (
             f"WITH m AS (SELECT id, any_value(text) AS text FROM memories WHERE source_file <> '' GROUP BY id), "
             f"s AS (SELECT id, list_distinct({_WORDS.format('text')}) AS w FROM m), "

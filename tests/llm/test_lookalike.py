@@ -79,3 +79,24 @@ def test_collation_joins_forms(spark):
     got = lk.with_class(lk.folded(frame(spark, rows + [("d", "b\u0007c", None), ("e", "bc", None)]), "id", ["text"]))
     key = {r["id"]: r["canonical_key"] for r in got.collect()}
     assert key["d"] == key["e"] and len(key) == 5
+
+
+def test_canonical_is_a_member(spark):
+    """Text of another script stays as a row holds it; of several spellings the clean one, else the smallest digest, stands for all."""
+    rows = [
+        ("a", "вода сорока", None), ("b", "вода сорока", None), ("c", "Ελλάδα", None), ("d", "x\ue000y", None), ("e", "x\u200dy", None),
+        ("f", "\ue141", None), ("g", "\U0001f3f4\U000e0041\U000e007f", None), ("h", "раypal", None), ("i", "pаypal", None), ("j", "co\u2011op", None), ("k", "co-op", None), ("k", "co-op", None),
+    ]
+    got = {r["id"]: r["canonical"] for r in lk.canonical_values(frame(spark, rows), "id", ["text", "abstract"]).collect()}
+    texts = {i: t for i, t, _ in rows}
+    assert set(got.values()) <= set(texts.values())
+    assert got["a"] == got["b"] and got["h"] == got["i"] and got["j"] == got["k"] == "co-op"
+    assert all(got[i] == texts[i] for i in "cdefg")
+    classes = {(r["canonical"], r["spellings"], r["ids"]) for r in lk.class_counts(frame(spark, rows), "id", ["text", "abstract"]).collect()}
+    assert classes == {(got["a"], 2, 2), (got["h"], 2, 2), ("co-op", 2, 2)}
+
+
+def test_private_use_characters_stay_apart():
+    texts = ["\ue000", "\ue001", "\ue141", "\ue001\ue000", "\U0001f469\u200d\U0001f4bb", "\U0001f469\ue000\U0001f4bb", "\U0001f3f4\U000e0041", "\U0001f3f4\ue141"]
+    assert len({lk.form(t) for t in texts}) == len(texts)
+    assert all(lk.shown(lk.form(t)) == t for t in texts)
