@@ -12,8 +12,13 @@ sketch of SKETCH buckets over *all* word sets: a bounded broadcast at any scale;
 in one bucket only make a class coarser. Texts with equal word sets are one representative;
 their copies are kept beside it.
 
-Words are compared as 32-bit hashes; a pair can be misjudged only if two different words of
-that pair collide (about 1e-6) and the pair lies on the threshold.
+Words are compared as 32-bit hashes: among u words about u * u / 2**33 pairs collide, which moves
+a similarity by about u / 2**33, a millionth for texts of 10,000 distinct words. A pair can be
+misjudged only if it lies so close to the threshold.
+
+A frequent signature has a long list only of sets that have hardly any rarer words, because
+prefixes begin with the rarest; such sets are near-duplicates of one another, so candidates
+stay in proportion to the answer. Lists are split among tasks by AQE's skew join.
 
 Null and empty texts have no words and match nothing; rows with a null id are ignored.
 """
@@ -38,8 +43,8 @@ LIST_GOAL = 2000
 MAX_CLASS = 3
 #: Sets below this size index single words only; from it on, each doubling is a regime.
 FIRST_REGIME = 20
-#: Hash groups of the classes 2 and 3 as a share of a regime's least size: 0.5 + 2 * 0.05 = 0.6 units.
-GROUP_SHARES = (0.5, 0.05)
+#: Hash groups of the classes 2 and 3, as a share of the threshold times a regime's least size: together (5 + 2 * 0.5) / 7 of what a set of that size keeps.
+GROUP_SHARES = (5 / 7, 0.5 / 7)
 #: Bits of the bound that candidates have to meet; a multiple of 64.
 PARITIES = 192
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -77,14 +82,15 @@ def regime(n: int) -> int:
     return 0 if n < FIRST_REGIME else (n // FIRST_REGIME).bit_length()
 
 
-def group_counts(r: int) -> list[int]:
+def group_counts(r: int, threshold: float) -> list[int]:
     """Numbers of hash groups of the classes 1..MAX_CLASS (from index 1) in regime r.
 
-    A group of class k costs k-1 units; all groups together cost less than what any set of
-    the regime's sizes can spare (0.6 of its size), so every prefix can be completed.
+    A group of class k costs k-1 units; all groups together cost less than the words that a
+    partner at the threshold has in common with any set looking in the regime, so every
+    prefix can be completed.
     """
     least = FIRST_REGIME << (r - 1)
-    return [0, 1, *(max(1, int(least * share)) for share in GROUP_SHARES)]
+    return [0, 1, *(max(1, int(round(least * threshold * share, 6))) for share in GROUP_SHARES)]
 
 
 def signatures(sets: list[np.ndarray], counts: np.ndarray, classes: np.ndarray, threshold: float, probe: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +111,12 @@ def signatures(sets: list[np.ndarray], counts: np.ndarray, classes: np.ndarray,
     for i, n in enumerate(sizes.tolist()):
         least = math.ceil(share * n - 1e-9)
         need = n - least + 1
-        for r in {regime(n), regime(least)} if probe else {regime(n)}:
+        for r in range(regime(least), regime(n) + 1) if probe else (regime(n),):
             if r == 0:
                 made[1][0].extend([(i, 0)] * need)
                 made[1][1].extend(mixed[start : start + need])
                 continue
-            groups, members, units = group_counts(r), {}, 0
+            groups, members, units = group_counts(r, threshold), {}, 0
             for at in range(start, start + n):
                 k = cls[at]
                 own = members.setdefault((k, mixed[at] % groups[k]), [])
@@ -118,6 +124,8 @@ def signatures(sets: list[np.ndarray], counts: np.ndarray, classes: np.ndarray,
                 units += len(own) >= k
                 if units >= need:
                     break
+            if units < need:
+                raise ValueError(f"no complete prefix for {n} words at threshold {threshold}")
             for (k, _), own in members.items():
                 if len(own) >= k:
                     own.sort()

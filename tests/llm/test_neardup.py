@@ -88,3 +88,27 @@ def test_a_true_pair_shares_a_signature(seed, t):
         px, py = nd.parities([small])[0], nd.parities([large])[0]
     assert np.intersect1d(x, y).size
     assert sum(int(v).bit_count() for v in (px ^ py).view(np.uint64)) <= (1 - t) / (1 + t) * (len(a) + len(b)) + 1e-9
+
+
+@pytest.mark.parametrize("t", [0.4, 0.5])
+def test_low_thresholds(spark, monkeypatch, t):
+    """Partners whose sizes lie several ranges apart are found, too."""
+    monkeypatch.setattr(nd, "LIST_GOAL", 4)
+    rng = random.Random(3)
+    rows = corpus(2, 120, 3000, (22, 25, 40, 90, 170))
+    for k, (small, large) in enumerate(((40, 95), (45, 100), (100, 160), (80, 199))):
+        words = [f"x{k}_{i}" for i in range(large)]
+        rows += [(f"p{k}", " ".join(words)), (f"q{k}", " ".join(rng.sample(words, small)))]
+    got = {tuple(r) for r in nd.near_duplicate_pairs(frame(spark, rows), "id", "text", t).collect()}
+    assert got == brute(rows, t) and ("p2", "q2") in got
+
+
+def test_boilerplate_keeps_candidates_few(spark):
+    """Texts that share most of their words, but not enough, hardly become candidates; a third of the rows is one text."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(f"b{i:03}", " ".join(common + [f"u{rng.randrange(10**9)}" for _ in range(30)])) for i in range(300)] + [(f"s{i:03}", " ".join(common)) for i in range(150)]
+    sets = nd.token_sets(frame(spark, rows), "id", "text")
+    reps = sets.groupBy("toks").agg({"id": "min"}).selectExpr("monotonically_increasing_id() AS rid", "`min(id)` AS rep", "toks")
+    assert nd.candidate_pairs(reps.cache(), nd.sketch_counts(reps), reps.count(), 0.8).count() < 300
+    assert {tuple(r) for r in nd.near_duplicate_groups(frame(spark, rows), "id", "text", 0.8).filter("group_id <> id").select("group_id").distinct().collect()} == {("s000",)}
