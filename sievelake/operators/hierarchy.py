@@ -1,9 +1,12 @@
 """Parent-child links to full hierarchies: root, depth, path, descendants and cycles.
 
-Level-wise frontier joins start at the roots; each level joins the children of the last
-one and writes them to the shared folder, so no plan grows with the depth. Nodes that no
-level reaches hang on a loop: pointer doubling inside that rest finds each loop's smallest
-id. Children of a hot parent (more than 1/HOT of all links) are spread over SALTS parts,
+Level-wise frontier joins start at the roots; each step joins what lies below the last
+frontier and writes it to one folder of the shared space, so no plan grows with the depth. As
+long as most links wait, a step is one level. Once few are left, these are expanded to pairs
+with their ancestors up to D steps above, by doubling, and a step takes D levels at once; D
+grows as links get fewer, and there are never more pairs than a constant times the rows. Nodes
+that no level reaches hang on a loop: pointer doubling inside that rest finds each loop's
+smallest id. Children of a hot parent (more than 1/HOT of all links) are spread over SALTS parts,
 their parent's frontier row is repeated for each part; at most HOT parents can be hot.
 
 Null ids are ignored, repeated rows of an id count once (smallest parent), a null or empty
@@ -12,12 +15,16 @@ parent, or one that is not in the table, makes a root; a node that names itself
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.session import cut, materialize
+from sievelake.session import cut, materialize, shared_dir
 
 HOT, SALTS = 500, 32
+#: Pairs of waiting nodes and ancestors: at most JUMP_SHARE times the rows, or JUMP_ROWS; at most JUMP_MOST levels in a step.
+JUMP_SHARE, JUMP_ROWS, JUMP_MOST = 2, 200_000, 256
 #: The links still to be placed are rewritten when they have shrunk by this factor.
 SHRINK = 6
 
@@ -30,47 +37,71 @@ def links(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     return d.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent"))
 
 
+def jump(left: int, total: int) -> int:
+    """Levels that a step may take while ``left`` of ``total`` links wait: a power of two."""
+    most = max(1, min(JUMP_MOST, left, max(JUMP_SHARE * total, JUMP_ROWS) // max(1, left)))
+    return 1 << max(0, most.bit_length() - 1)
+
+
+def ancestors_within(waiting: DataFrame, steps: int, sep: str | None = None) -> DataFrame:
+    """(id, parent, dist[, seg]): each node with its ancestors up to ``steps`` (a power of two) links above, by doubling; seg is the way down, joined by ``sep``."""
+    p = waiting.select("id", "parent", F.lit(1).alias("dist"), *[F.col("id").alias("seg")] * (sep is not None))
+    d = 1
+    while d < steps:
+        p = materialize(p, "pairs")
+        far = p.filter(F.col("dist") == d).drop("dist")
+        near = p.select(F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("dist").alias("more"), *[F.col("seg").alias("head")] * (sep is not None))
+        far = far.join(near, "parent").select("id", F.col("up").alias("parent"), (F.col("more") + d).alias("dist"), *[F.concat_ws(sep, "head", "seg").alias("seg")] * (sep is not None))
+        p, d = p.unionByName(far), 2 * d
+    return materialize(p, "pairs")
+
+
 def levels(link: DataFrame, with_path: bool = False, sep: str = "/", carry: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """(reached, rest): reached (id, root_id, depth[, path][, carried]); rest the links (id, parent) no root leads to.
 
     ``link`` has to be a table already written: every level reads it. ``carry`` has (name, value at a
-    root, value below) of further columns handed down; the values below see the link's own columns and
-    what its parent carries, with the parent's depth.
+    root, value below) of further columns handed down one level at a time; the values below see the
+    link's own columns and what its parent carries, with the parent's depth.
     """
+    spark, single = link.sparkSession, bool(carry)
     if with_path:
-        carry = (("path", F.col("id"), F.concat_ws(sep, "path", "id")), *carry)
+        carry = (("path", F.col("id"), F.concat_ws(sep, "path", "seg")), *carry)
     total = link.count()
     edges = link.filter("parent IS NOT NULL")
     hot = [r["parent"] for r in edges.groupBy("parent").count().filter(F.col("count") > max(1000, total // HOT)).select("parent").collect()]  # at most HOT rows
     salt = lambda key: F.when(F.col(key).isin(hot), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
-    frontier = cut(link.filter("parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *[top.alias(c) for c, top, _ in carry]))
-    reached, waiting, held, since = [frontier], edges, total, [frontier]
+    salts = F.when(F.col("id").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    folder, step = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}", 0
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{folder}/step={step}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def reached(schema) -> DataFrame:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+    frontier = put(link.filter("parent IS NULL").select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *[top.alias(c) for c, top, _ in carry]))
+    shape, below = frontier.schema, lambda: waiting.join(reached(frontier.schema).select("id"), "id", "left_anti")
+    one = lambda df: df.withColumn("dist", F.lit(1)).withColumn("seg", F.col("id"))
+    waiting, held, reach, depth = edges, total, 1, 0
+    pairs = one(edges)
     n = frontier.count()
     left = total - n
     while n and left:
-        salts = F.when(F.col("id").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+        wide = 1 if single else jump(left, total)
+        if wide >= 4 * reach or left * SHRINK < held:
+            waiting, held = materialize(below(), "waiting"), left
+            reach = max(reach, wide)
+            pairs = ancestors_within(waiting, reach, sep if with_path else None) if reach > 1 else one(waiting)
         up = frontier.withColumn("part", F.explode(salts)).withColumnRenamed("id", "parent")
-        down = waiting.withColumn("part", salt("parent").cast("int")).join(up, ["parent", "part"])
-        frontier = cut(down.select("id", "root_id", (F.col("depth") + 1).alias("depth"), *[below.alias(c) for c, _, below in carry]))
-        n = frontier.count()
-        left -= n
-        reached.append(frontier)
-        since.append(frontier)
-        if n and left and left * SHRINK < held:
-            done = since[0].select("id")
-            for x in since[1:]:
-                done = done.unionByName(x.select("id"))
-            waiting, held, since = cut(waiting.join(done, "id", "left_anti")), left, []
-            since = [frontier.limit(0)]
-    out = reached[0]
-    for x in reached[1:]:
-        out = out.unionByName(x)
-    if left:
-        done = since[0].select("id")
-        for x in since[1:]:
-            done = done.unionByName(x.select("id"))
-        return out, waiting.join(done, "id", "left_anti")
-    return out, edges.limit(0)
+        down = pairs.withColumn("part", salt("parent").cast("int")).join(up, ["parent", "part"])
+        step += 1
+        got = put(down.select("id", "root_id", (F.col("depth") + F.col("dist")).alias("depth"), *[value.alias(c) for c, _, value in carry]))
+        n = got.count()
+        left, depth = left - n, depth + reach
+        frontier = got.filter(F.col("depth") == depth)
+    return reached(shape), below() if left else edges.limit(0)
 
 
 def loops(rest: DataFrame) -> DataFrame:
@@ -97,6 +128,7 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     """
     link = materialize(links(df, id_col, parent_col), "links")
     reached, rest = levels(link, with_path)
+    rest = rest.select("id", "parent")
     lost = loops(rest).select("id", F.col("loop_id").alias("root_id"), F.lit(-1).alias("depth"), *[F.lit(None).cast("string").alias("path")] * with_path)
     return reached.unionByName(lost)
 

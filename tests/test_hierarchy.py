@@ -113,3 +113,23 @@ def test_check_against_the_way_up(spark):
     }
     old = {r["id"]: r["path_state"] for r in hierarchy.check_paths(df).collect()}
     assert [old[i] for i in "cefh"] == ["ok", "ok", "ok", "unchecked"]  # what looking at the parent's stored path alone says
+
+
+def test_deep_chains(spark):
+    """A chain of 2,000 levels beside a loop with a tail: all depths, by a plan that does not grow with them."""
+    pairs = [(f"n{i:04}", f"n{i - 1:04}" if i else None) for i in range(2000)] + [(f"s{i}", f"n{i * 17:04}") for i in range(100)]
+    pairs += [("l0", "l2"), ("l1", "l0"), ("l2", "l1"), *((f"t{i}", f"t{i - 1}" if i else "l1") for i in range(40))]
+    df = hierarchy.hierarchy(frame(spark, pairs), with_path=True)
+    got = {r["id"]: (r["root_id"], r["depth"]) for r in df.collect()}
+    assert got == brute(pairs)
+    path = df.filter("id = 'n1999'").first()["path"].split("/")
+    assert path == [f"n{i:04}" for i in range(2000)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 6
+
+
+def test_ancestors_within(spark):
+    df = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("x", "y"), ("y", "x")], "id string, parent string")
+    got = {tuple(r) for r in hierarchy.ancestors_within(df, 4, "/").select("id", "parent", "dist", "seg").collect()}
+    assert {("e", "d", 1, "e"), ("e", "c", 2, "d/e"), ("e", "b", 3, "c/d/e"), ("e", "a", 4, "b/c/d/e"), ("d", "a", 3, "b/c/d"), ("x", "x", 2, "y/x")} <= got
+    assert len(got) == 1 + 2 + 3 + 4 + 8
