@@ -115,5 +115,11 @@ def escape_query(q: str) -> str:
     q = q.strip()
     if not q:
         return '""'
-    special = q in ("AND", "OR", "NOT") or any(c in q for c in '+-"*()') or any(f" {op} " in q for op in ("AND", "OR", "NOT"))
+    special = q.upper() in ("AND", "OR", "NOT") or any(c in q for c in '+-"*()') or any(f" {op} " in q for op in ("AND", "OR", "NOT"))
     return '"' + q.replace('"', '""') + '"' if special else q
+
+
+def is_phrase(q: Column) -> Column:
+    """Whether escape_query makes one phrase of the query."""
+    t = F.trim(F.coalesce(q, F.lit("")))
+    return F.upper(t).isin("AND", "OR", "NOT") | t.rlike(r'[+\-"*()]| (?:AND|OR|NOT) ')

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelake.functions.scoring import ScoringConfig, apply_scoring
 from sievelake.functions.text import level_weight, path_levels
 from sievelake.functions.vectors import dot, normalize
-from sievelake.operators.fulltext import bm25
+from sievelake.operators.fulltext import search_text
 from sievelake.operators.fusion import ranked, rrf
 from sievelake.operators.vector_search import vector_scores
 from sievelake.session import cut, materialize
@@ -51,14 +51,14 @@ def level_vector_scores(queries: DataFrame, docs: DataFrame, vectors: DataFrame,
     return near.select("query_id", "id", dot(F.col("qv"), F.col("vector")).alias("score"))
 
 
-def path_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, dim: int, k: int, now: int, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
+def path_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, dim: int, k: int, now: int, cfg: ScoringConfig = ScoringConfig(), match: str = "all") -> DataFrame:
     """(query_id, id, score, rank, source): levels, then global rows where levels leave room, scored.
 
     queries: query_id, query, path, vector (null: text only); docs: id, text, hierarchy_path,
     importance, ts. Global rows are those without a path; theirs are vector hits where the
     query has a vector, else text hits, at half their score.
     """
-    text = materialize(bm25(docs, queries), "hits")  # read by the levels and by the fallback
+    text = materialize(search_text(docs, queries, match), "hits")  # read by the levels and by the fallback
     by = ["query_id", "level", "weight"]
     lists = [level_hits(level_vector_scores(queries, docs, vectors, dim), docs, queries, OVERFETCH * k), level_hits(text, docs, queries, OVERFETCH * k)]
     fused = rrf(lists, by).withColumn("score", F.col("score") * F.col("weight"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.functions.words import words
-from sievelake.operators.fulltext import B, K1, idf, query_terms
+from sievelake.operators.fulltext import query_terms, scored
 
 BUCKETS = 64
 POSTING, DOC, GONE = "id STRING, term STRING, tf LONG, dl INT, batch LONG, bucket INT", "id STRING, dl INT, batch LONG", "id STRING, batch LONG"
@@ -66,14 +66,10 @@ class PostingIndex:
         self.docs().write.parquet(f"{target}/docs")
         return PostingIndex(self.spark, target)
 
-    def search(self, queries: DataFrame) -> DataFrame:
+    def search(self, queries: DataFrame, match: str = "all") -> DataFrame:
         """(query_id, id, score) as fulltext.bm25 gives it; only the buckets of the queries' words are read."""
         qt = query_terms(queries).withColumn("bucket", _bucket(F.col("term")))
         asked = [r["bucket"] for r in qt.select("bucket").distinct().collect()]  # at most BUCKETS numbers
         tf = self._alive(self._read("postings", POSTING).filter(F.col("bucket").isin(asked)).join(qt.select("term").distinct(), "term", "left_semi"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
         size = self.docs().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        weights = qt.join(df, "term").select("query_id", "n_terms", "term", idf(size.select("n").scalar(), F.col("df")).alias("idf"))
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / size.select("avgdl").scalar()))
-        hits = tf.join(weights, "term").groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("score"), F.count("*").alias("hit"))
-        return hits.filter("hit = n_terms").select("query_id", "id", F.greatest("score", F.lit(0.0)).alias("score"))
+        return scored(tf, qt, size, match)

@@ -14,7 +14,7 @@ from sievelake.sources.files import Settings
 OVERFETCH = 2
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, settings: Settings, fusion_by: str = "boost") -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, settings: Settings, fusion_by: str = "boost", match: str = "all") -> DataFrame:
     """(query_id, id, score, rank) in the mode of the settings: 1 full text, 2 hybrid, 3 hybrid and reranked.
 
     queries: query_id, query, vector (null: text only). docs: id, text, scope; statistics are
@@ -23,7 +23,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, vectors: DataFrame, settings:
     allowed = docs.filter(F.col("scope").isin(list(settings.scopes))).select("id") if settings.scopes else docs.select("id")
     k = settings.limit
     wide = rerank.CANDIDATES if settings.reranks else k
-    text = fulltext.bm25(docs, queries).join(allowed, "id")
+    text = fulltext.search_text(docs, queries, match).join(allowed, "id")
     if not settings.uses_vectors:
         return fulltext.top_k(text, k)
     near = vector_search.vector_topk(queries, vectors.join(allowed, "id"), settings.dim, OVERFETCH * wide)

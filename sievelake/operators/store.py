@@ -204,7 +204,7 @@ class MemoryStore:
         vecs = self.vectors().select(F.col("memory_id").alias("id"), "vector")
         if path:
             return path_search.path_search(q, allowed, vecs, self.dim, limit, self._now())
-        text = fulltext.bm25(docs, q).join(allowed.select("id"), "id")
+        text = fulltext.search_text(docs, q).join(allowed.select("id"), "id")
         if not vector:
             return fulltext.top_k(text, limit)
         near = vector_search.vector_topk(q, vecs.join(allowed.select("id"), "id"), self.dim, 2 * limit)

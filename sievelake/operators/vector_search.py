@@ -1,12 +1,14 @@
 """Exact vector search for batches of queries, and an inverted-file index.
 
 The queries are the stated set; they travel to the rows in blocks of at most QUERY_BLOCK
-vectors. Each task multiplies its rows with the block and keeps its k best for each query
-before anything is shuffled.
+vectors. Each task multiplies its rows with the block, piece by piece, and carries its k best
+for each query from piece to piece, so that k rows a query and task are shuffled.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from sievelake.functions.vectors import usable
 from sievelake.operators.fulltext import top_k
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, ROWS, QUERIES = 4096, 4096, 512
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -23,45 +25,87 @@ def _matrix(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def vector_scores(queries: DataFrame, rows: DataFrame, dim: int, k: int, exclude_self: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+class Best:
+    """The k best ids of each of n queries so far, by rounded score, then id; an id counts once for a query."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.rows, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        self.waiting: list[tuple] = []
+        self.held = 0
+
+    def add(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """Scores s of some queries (rows) with ids (columns)."""
+        s6 = np.round(s, 6)
+        if s.shape[1] > self.k:
+            self.least[queries] = np.maximum(self.least[queries], np.partition(s6, -self.k, axis=1)[:, -self.k]) if len(set(ids)) == len(ids) else self.least[queries]
+        r, c = np.nonzero((s6 >= self.least[queries][:, None]) & np.isfinite(s))
+        self.waiting.append((queries[r], ids[c], s[r, c]))
+        self.held += len(r)
+        if self.held > 4 * self.k * len(self.least) + 100_000:
+            self.prune()
+
+    def prune(self) -> None:
+        rows, ids, scores = (np.concatenate([own, *(w[i] for w in self.waiting)]) for i, own in enumerate((self.rows, self.ids, self.scores)))
+        f = pd.DataFrame({"r": rows, "id": ids, "s": scores, "s6": -np.round(scores, 6)}).sort_values(["r", "s6", "id"], kind="stable").drop_duplicates(["r", "id"])
+        rank = f.groupby("r").cumcount().to_numpy()
+        last = f[rank == self.k - 1]
+        self.least[last["r"].to_numpy()] = -last["s6"].to_numpy()
+        f = f[rank < self.k]
+        self.rows, self.ids, self.scores, self.waiting, self.held = f["r"].to_numpy(), f["id"].to_numpy(object), f["s"].to_numpy(), [], 0
+
+
+def query_blocks(queries: DataFrame):
+    """The queries in blocks of about QUERY_BLOCK rows, as pandas frames."""
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    for b in range(blocks):
+        yield (queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).toPandas()
+
+
+def vector_scores(queries: DataFrame, rows: DataFrame, dim: int, k: int, exclude_self: bool = False, keep: tuple[str, ...] = (), least: float | None = None) -> DataFrame:
     """(query_id, id, score): for each query (query_id, vector) candidates that contain its k best rows (id, vector).
 
-    With ``keep``, the k best for each combination of those columns of rows. Unusable
-    vectors on either side take no part; repeated ids count once.
+    With ``keep``, the k best for each combination of those columns of rows. With ``least``,
+    all rows of at least that score instead of the k best. Unusable vectors on either side take
+    no part; repeated ids count once.
     """
     spark = rows.sparkSession
     queries = queries.filter(usable(F.col("vector"), dim)).select("query_id", "vector").dropDuplicates(["query_id"])
     rows = rows.filter(usable(F.col("vector"), dim)).select("id", "vector", *keep)
-    n = queries.count()
     out = None
     schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {rows.schema['id'].dataType.simpleString()}", "score double", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)])
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        block = part.toPandas()  # about QUERY_BLOCK vectors
+    for block in query_blocks(queries):
         held = spark.sparkContext.broadcast((block["query_id"].to_numpy(object), _matrix(block["vector"]) if len(block) else np.zeros((0, dim))))
 
         def run(batches, held=held):
             qid, q = held.value
+            best = defaultdict(lambda: Best(len(qid), k))
             for pdf in batches:
                 if not len(pdf) or not len(qid):
                     continue
-                for _, grp in pdf.groupby(list(keep), dropna=False) if keep else [(None, pdf)]:
-                    s = q @ _matrix(grp["vector"]).T
-                    ids = grp["id"].to_numpy()
-                    if exclude_self:
-                        s[qid[:, None] == ids[None, :]] = -np.inf
-                    if s.shape[1] > k:
-                        # rounded as the ranking will be, so that ties at the cut stay in
-                        least = np.partition(np.round(s, 6), -k, axis=1)[:, -k][:, None]
-                        r, c = np.nonzero((np.round(s, 6) >= least) & np.isfinite(s))
-                    else:
-                        r, c = np.nonzero(np.isfinite(s))
-                    yield pd.DataFrame({"query_id": qid[r], "id": ids[c], "score": s[r, c]} | {x: grp[x].to_numpy()[c] for x in keep})
+                for name, grp in pdf.groupby(list(keep), dropna=False) if keep else [((), pdf)]:
+                    for at in range(0, len(grp), ROWS):
+                        part = grp.iloc[at : at + ROWS]
+                        x, ids = _matrix(part["vector"]).T, part["id"].to_numpy(object)
+                        for lo in range(0, len(qid), QUERIES):
+                            some = np.arange(lo, min(lo + QUERIES, len(qid)))
+                            s = q[some] @ x
+                            if exclude_self:
+                                s[qid[some][:, None] == ids[None, :]] = -np.inf
+                            if least is None:
+                                best[name].add(some, ids, s)
+                            else:
+                                r, c = np.nonzero((s >= least) & np.isfinite(s))
+                                yield pd.DataFrame({"query_id": qid[some[r]], "id": ids[c], "score": s[r, c]} | {n: part[n].to_numpy()[c] for n in keep})
+            for name, b in best.items():
+                b.prune()
+                yield pd.DataFrame({"query_id": qid[b.rows], "id": b.ids, "score": b.scores} | dict(zip(keep, name)))
 
         found = rows.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["query_id", "id", *keep])
+    # one shuffle by query serves this and the ranking that follows
+    return out.repartition("query_id").dropDuplicates(["query_id", "id", *keep])
 
 
 def vector_topk(queries: DataFrame, rows: DataFrame, dim: int, k: int, exclude_self: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import scoring, text as tx, vectors as vx
 from sievelake.operators import evaluation, fulltext, fusion, path_search as ps, quality, rerank as rr, retrieval, tree_search as ts, vector_search as vs
 from sievelake.operators.posting_index import PostingIndex
-from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors, whole, whole_cases
+from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors, whole
 from sievelake.session import cut, shared_dir
 from sievelake.sources.files import Settings
 from sievelake.sources.tables import table
@@ -118,11 +118,11 @@ def ivf_top10(spark: SparkSession, sf: str) -> DataFrame:
 def near_dup_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Rows within a cosine of 0.98 of the stated query rows."""
     rows, q = _embeddings(spark, sf)
-    return vs.vector_scores(q, rows, 64, rows.count(), exclude_self=True).filter("score > 0.98").select("query_id", "id", F.round("score", 6).alias("score"))
+    return vs.vector_scores(q, rows, 64, 0, exclude_self=True, least=0.98).filter("score > 0.98").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def _text(spark, sf):
-    return fulltext.bm25(docs(spark, sf, "text"), cases(spark, sf))
+    return fulltext.bm25(docs(spark, sf, "text"), cases(spark, sf), "any")
 
 
 @query(sql(top("bm"), "bm"))
@@ -132,8 +132,8 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(whole(sql(top("bm"), "bm")))
 def bm25_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The cases' whole queries; few have hits."""
-    return fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), whole_cases(spark, sf)), K)
+    """Memories that hold all words of a case's query; few cases have hits."""
+    return fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), cases(spark, sf)), K)
 
 
 @query(sql(top("bm"), "bm"))
@@ -143,7 +143,7 @@ def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf, "text")
     index.add(d.filter("pmod(xxhash64(id), 10) = 0").withColumn("text", F.lower("text")), 1)
     index.put(d, 2)
-    return fulltext.top_k(index.search(cases(spark, sf)), K)
+    return fulltext.top_k(index.search(cases(spark, sf), "any"), K)
 
 
 @query(sql("SELECT query_id, id, round(score, 6) AS score FROM bm", "bm"))
@@ -167,27 +167,44 @@ def bm25_global(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.top_k(_text(spark, sf).join(docs(spark, sf, "hierarchy_path").filter("hierarchy_path IS NULL").select("id"), "id"), K)
 
 
-_PHRASE = f"SELECT query_id, len(q) AS n, unnest(range(0, len(q))) AS i, unnest(q) AS term FROM (SELECT item_id AS query_id, {WORDS.format('name_text')} AS q FROM (SELECT item_id, array_to_string({WORDS.format('passage')}[1:2], ' ') AS name_text FROM eval_cases))"
+RUN = 5
 
 
-@query(sql(f", p AS ({_PHRASE}), t AS (SELECT id, unnest(range(0, len(w))) AS pos, unnest(w) AS term FROM w), h AS (SELECT query_id, n, id, pos - i AS s0 FROM p JOIN t USING (term) GROUP BY ALL HAVING count(*) = n) SELECT query_id, id, count(*) AS starts FROM h GROUP BY ALL", "w"))
-def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    """Memories that hold the first two words of an item's passage as a phrase."""
-    q = cases(spark, sf).select("query_id", F.array_join(F.slice(fulltext.words(F.col("passage")), 1, 2), " ").alias("query"))
-    return fulltext.phrase_hits(docs(spark, sf, "text"), q)
+def _runs_sql(col: str, n: int) -> str:
+    runs = f"SELECT item_id || '#' || s AS query_id, array_to_string(w[s:s + {n - 1}], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS s FROM (SELECT item_id, {WORDS.format(col)} AS w FROM eval_cases))"
+    return f", p AS ({runs}), g AS (SELECT id, array_to_string(w[i:i + {n - 1}], ' ') AS k FROM (SELECT id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w)), h AS (SELECT query_id, id FROM p JOIN g USING (k))"
 
 
-RUN = 5
-_RUNS = f"SELECT item_id || '#' || s AS query_id, w[s:s + {RUN - 1}] AS q FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {RUN - 1}, 1) + 1)) AS s FROM (SELECT item_id, {WORDS.format('passage')} AS w FROM eval_cases))"
-_RUN_TERMS = f"SELECT query_id, len(q) AS n, unnest(range(0, len(q))) AS i, unnest(q) AS term FROM ({_RUNS})"
+def _runs(spark, sf, col: str, n: int) -> DataFrame:
+    """(query_id, query): every run of n words of a case's column; query_id is item#place."""
+    w = cases(spark, sf).select("query_id", fulltext.words(F.col(col)).alias("w"))
+    at = w.select("query_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))).alias("s"))
+    return at.select(F.concat_ws("#", "query_id", "s").alias("query_id"), F.array_join(F.slice("w", F.col("s"), n), " ").alias("query"))
+
+
+@query(sql(_runs_sql("query", 2) + " SELECT query_id, id, count(*) AS starts FROM h GROUP BY ALL", "w"))
+def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    """Memories that hold any two consecutive words of a case's query as a phrase; query_id is item#place."""
+    return fulltext.phrase_hits(docs(spark, sf, "text"), _runs(spark, sf, "query", 2))
 
 
-@query(sql(f", p AS ({_RUN_TERMS}), t AS (SELECT id, unnest(range(0, len(w))) AS pos, unnest(w) AS term FROM w), h AS (SELECT query_id, n, id, pos - i AS s0 FROM p JOIN t USING (term) GROUP BY ALL HAVING count(*) = n) SELECT query_id, id, count(*) AS starts FROM h GROUP BY ALL", "w"))
+@query(sql(_runs_sql("passage", RUN) + " SELECT query_id, id, count(*) AS starts FROM h GROUP BY ALL", "w"))
 def bm25_phrase_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Memories that hold any RUN consecutive words of an item's passage as a phrase; query_id is item#place."""
-    w = whole_cases(spark, sf).select("query_id", fulltext.words(F.col("passage")).alias("w"))
-    at = w.select("query_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - (RUN - 1), F.lit(1)))).alias("s"))
-    return fulltext.phrase_hits(docs(spark, sf, "text"), at.select(F.concat_ws("#", "query_id", "s").alias("query_id"), F.array_join(F.slice("w", F.col("s"), RUN), " ").alias("query")))
+    return fulltext.phrase_hits(docs(spark, sf, "text"), _runs(spark, sf, "passage", RUN))
+
+
+_BM_PHRASE = "greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))"
+
+
+@query(sql(
+    _runs_sql("query", 2) + ", f AS (SELECT query_id, id, count(*) AS tf FROM h GROUP BY ALL), fd AS (SELECT query_id, count(*) AS df FROM f GROUP BY query_id), "
+    f"fs AS (SELECT query_id, id, {_BM_PHRASE} AS score FROM f JOIN fd USING (query_id) JOIN dl USING (id), sz), both_kinds AS (SELECT * FROM fs UNION ALL SELECT * FROM bm) {top('both_kinds')}", "w", "dl", "sz", "bm",
+))
+def text_search_escaped(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries as a client may send them: the cases' queries as they stand, and any two of their words in quotation marks, which make a phrase."""
+    quoted = _runs(spark, sf, "query", 2).withColumn("query", F.concat(F.lit('"'), "query", F.lit('"')))
+    return fulltext.top_k(fulltext.search_text(docs(spark, sf, "text"), cases(spark, sf).select("query_id", "query").unionByName(quoted), "any"), K)
 
 
 @query(sql("SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(w) AS term FROM w) GROUP BY term", "w"))
@@ -263,7 +280,7 @@ _PATH = (
 @query(sql(_PATH, "lrrf", "vs", "bm", "qv", "mem"))
 def path_search(spark: SparkSession, sf: str) -> DataFrame:
     q = located(spark, sf).join(example_vectors(spark, sf), "query_id", "left")
-    return ps.path_search(q, docs(spark, sf, "text", "hierarchy_path", "importance", "ts"), vectors(spark, sf), DIM, K, NOW)
+    return ps.path_search(q, docs(spark, sf, "text", "hierarchy_path", "importance", "ts"), vectors(spark, sf), DIM, K, NOW, match="any")
 
 
 @query(sql(f"SELECT id, round({_REC}, 6) AS boost FROM mem", "mem"))
@@ -324,7 +341,7 @@ def aggregate_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RR = (
-    f", c AS ({top('(SELECT query_id, id, round(score, 5) AS score FROM bm)', 50)}), q AS (SELECT item_id AS query_id, list_distinct({WORDS.format('query')}[-2:]) AS qw FROM eval_cases), "
+    f", c AS ({top('(SELECT query_id, id, round(score, 5) AS score FROM bm)', 50)}), q AS (SELECT item_id AS query_id, list_distinct({WORDS.format('query')}) AS qw FROM eval_cases), "
     f"x AS (SELECT c.query_id, c.id, c.score, trim(text) <> '' AS ok, len([t FOR t IN qw IF list_contains({WORDS.format('text')}, t)]) / nullif(len(qw), 0)::DOUBLE AS r FROM c JOIN mem USING (id) JOIN q USING (query_id)), "
     "b AS (SELECT query_id, id, CASE WHEN NOT ok THEN score WHEN r IS NULL THEN score * 0.8e0 ELSE greatest(0.6e0 * r + 0.4e0 * score, 0.5e0 * score) END AS score FROM x) "
 )
@@ -346,7 +363,7 @@ def _asked(spark, sf):
 
 
 def _mode(spark, sf, mode):
-    return retrieval.retrieve(_asked(spark, sf), docs(spark, sf, "text", "scope"), vectors(spark, sf), Settings(mode=mode, scopes=("global", "agent:scout")))
+    return retrieval.retrieve(_asked(spark, sf), docs(spark, sf, "text", "scope"), vectors(spark, sf), Settings(mode=mode, scopes=("global", "agent:scout")), match="any")
 
 
 _ALLOWED = "(SELECT {0}.* FROM {0} JOIN mem USING (id) WHERE scope IN ('global', 'agent:scout'))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import text as tx
 from sievelake.functions.embed import embed_udf
 from sievelake.operators import chunking, evaluation, fulltext, retrieval, summaries
-from sievelake.plans.views import K, NOW, cases, docs, located, sql, top, vectors, whole, whole_cases
+from sievelake.plans.views import K, NOW, cases, docs, located, sql, top, vectors, whole
 from sievelake.session import cut
 from sievelake.sources.tables import table
 
@@ -144,7 +144,7 @@ def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found(spark, sf):
-    return cut(fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), cases(spark, sf)), K))
+    return cut(fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), cases(spark, sf), "any"), K))
 
 
 _HITS = f", r AS ({top('bm')}), j AS (SELECT r.query_id, r.rank, r.score, mem.hierarchy_path, len([t FOR t IN expected_terms IF contains(lower(text), lower(t))]) AS got, len(expected_terms) AS n FROM r JOIN mem USING (id) JOIN eval_cases ON item_id = r.query_id)"
@@ -174,21 +174,21 @@ def scenario_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _found_whole(spark, sf):
-    return cut(fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), whole_cases(spark, sf)), K))
+    return cut(fulltext.top_k(fulltext.bm25(docs(spark, sf, "text"), cases(spark, sf)), K))
 
 
 @query(whole(SQL["precision_at_k"]))
 def precision_at_k_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The cases as they stand; most find nothing, which is their result."""
-    return evaluation.precision(_found_whole(spark, sf), docs(spark, sf, "text"), whole_cases(spark, sf))
+    """Asking for all words of a query; most cases find nothing, which is their result."""
+    return evaluation.precision(_found_whole(spark, sf), docs(spark, sf, "text"), cases(spark, sf))
 
 
 @query(whole(SQL["suite_pass_rates"]))
 def suite_pass_rates_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.suites(evaluation.precision(_found_whole(spark, sf), docs(spark, sf, "text"), whole_cases(spark, sf)))
+    return evaluation.suites(evaluation.precision(_found_whole(spark, sf), docs(spark, sf, "text"), cases(spark, sf)))
 
 
 @query(whole(SQL["scenario_match"]))
 def scenario_match_whole(spark: SparkSession, sf: str) -> DataFrame:
-    at = whole_cases(spark, sf).drop("path").join(located(spark, sf).select("query_id", "path"), "query_id")
+    at = cases(spark, sf).drop("path").join(located(spark, sf).select("query_id", "path"), "query_id")
     return evaluation.scenario(_found_whole(spark, sf), docs(spark, sf, "text", "hierarchy_path"), at)

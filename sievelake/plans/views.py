@@ -29,13 +29,6 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Eval cases as queries: the last two words, because the invented names before them occur in hardly any memory."""
-    c = table(spark, sf, "eval_cases").withColumnRenamed("item_id", "query_id")
-    w = words(F.col("query"))
-    return c.withColumn("query", F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2), " "))
-
-
-def whole_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Eval cases with their query as it stands."""
     return table(spark, sf, "eval_cases").withColumnRenamed("item_id", "query_id")
 
@@ -61,6 +54,8 @@ def located(spark: SparkSession, sf: str) -> DataFrame:
 WORDS = r"regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '([一-鿿])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
 SEC = "CASE WHEN {0} = 0 THEN NULL WHEN abs({0}) >= 100000000000 THEN CAST(floor({0} / 1000) AS BIGINT) ELSE {0} END"
 _BM25 = "greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))"
+#: Where "bm" takes documents that hold any word of a query; ``whole`` asks for all.
+ANY, ALL = " /* any */", " HAVING count(*) = qt.n_terms"
 #: Named subqueries; each names those it needs.
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "mem": ((), "SELECT id, min(text) AS text, min(abstract) AS abstract, min(overview) AS overview, min(category) AS category, min(scope) AS scope, min(importance) AS importance, "
@@ -69,10 +64,10 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "w": (("mem",), f"SELECT id, {WORDS.format('text')} AS w FROM mem"),
     "dl": (("w",), "SELECT id, len(w) AS dl FROM w WHERE len(w) > 0"),
     "sz": (("dl",), "SELECT count(*) AS n, avg(dl) AS avgdl FROM dl"),
-    "qt": ((), f"SELECT query_id, len(q) AS n_terms, unnest(q) AS term FROM (SELECT item_id AS query_id, list_distinct({WORDS.format('query')}[-2:]) AS q FROM eval_cases)"),
+    "qt": ((), f"SELECT query_id, len(q) AS n_terms, unnest(q) AS term FROM (SELECT item_id AS query_id, list_distinct({WORDS.format('query')}) AS q FROM eval_cases)"),
     "tf": (("w", "qt"), "SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM qt) GROUP BY ALL"),
     "df": (("tf",), "SELECT term, count(*) AS df FROM tf GROUP BY term"),
-    "bm": (("qt", "tf", "df", "dl", "sz"), f"SELECT qt.query_id, tf.id, sum({_BM25}) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), sz GROUP BY qt.query_id, tf.id, qt.n_terms HAVING count(*) = qt.n_terms"),
+    "bm": (("qt", "tf", "df", "dl", "sz"), f"SELECT qt.query_id, tf.id, sum({_BM25}) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), sz GROUP BY qt.query_id, tf.id, qt.n_terms{ANY}"),
     "ex": (("w", "vec"), "SELECT query_id, min(t.id) AS id FROM (SELECT item_id AS query_id, lower(expected_terms[1]) AS term FROM eval_cases) JOIN (SELECT DISTINCT id, unnest(w) AS term FROM w) t USING (term) JOIN vec ON vec.id = t.id GROUP BY query_id"),
     "qv": (("ex", "vec"), "SELECT query_id, v FROM ex JOIN vec USING (id)"),
     "qp": (("ex", "mem"), "SELECT item_id AS query_id, coalesce(hierarchy_path, path) AS path FROM eval_cases LEFT JOIN ex ON ex.query_id = item_id LEFT JOIN mem ON mem.id = ex.id"),
@@ -101,8 +96,8 @@ def sql(body: str, *names: str) -> str:
 
 
 def whole(statement: str) -> str:
-    """The statement with the whole query texts instead of their last two words."""
-    return statement.replace("[-2:]", "")
+    """The statement with documents that hold all words of a query instead of any."""
+    return statement.replace(ANY, ALL)
 
 
 def top(source: str, k: int = K, by: str = "query_id") -> str:
