@@ -1,20 +1,28 @@
-"""The store's reads and writes as plans over three tables: memories, vectors, postings.
+"""The store's reads and writes as plans over three tables: memories, vectors, and the full-text index.
 
-Writers append or rewrite parquet under a folder; readers are lazy. ``MemoryStore`` is the
-facade: it has the verbs a client calls and holds no data.
+``MemoryStore`` is the facade: it has the verbs a client calls and holds no data. A write makes
+a new version of the store: new folders for what it rewrites or appends, then one file that lists
+the folders of every table and the batches of the index. Readers take the latest such file, so
+they see all of a write or nothing of it, and what a write that failed has left behind is never
+read. One writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelake.functions.text import is_phrase
 from sievelake.functions.vectors import normalize
 from sievelake.operators import fulltext, fusion, path_search, vector_search
+from sievelake.operators.posting_index import PostingIndex
+from sievelake.sources.tables import read_if_there
 
 MEMORY = T.StructType(
     [T.StructField(n, t) for n, t in (
@@ -124,48 +132,93 @@ def parse_limit(raw: str | None) -> int:
     return n if 1 <= n <= 100 else 10
 
 
+def _next_batch(version: dict) -> int:
+    """A number above all earlier ones that no failed write can have used."""
+    return max([time.time_ns(), *(b + 1 for b in version["batches"][-1:])])
+
+
 class MemoryStore:
     """Verbs of the store over parquet tables in one folder."""
 
     def __init__(self, spark: SparkSession, path: str, dim: int = 128, now: int | None = None):
         self.spark, self.path, self.dim, self.now = spark, path, dim, now
-        for name, schema in (("memories", MEMORY), ("vectors", VECTOR)):
-            try:
-                spark.read.parquet(f"{path}/{name}")
-            except Exception:
-                spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+        if self._version() is None:
+            self._publish({"version": 0, "batches": [], "memories": [], "vectors": [], "index": f"{path}/index-0"})
 
     def _now(self) -> int:
-        import time
-
         return self.now if self.now is not None else int(time.time())
 
+    def _version(self) -> dict | None:
+        """The latest version; None where there is no store yet."""
+        held = read_if_there(self.spark, f"{self.path}/versions", "content STRING, version LONG")
+        return None if held is None else json.loads(held.orderBy(F.desc("version")).first()["content"])
+
+    def _publish(self, version: dict) -> None:
+        row = self.spark.createDataFrame([(json.dumps(version),)], "content STRING").coalesce(1)
+        row.write.parquet(f"{self.path}/versions/version={version['version']}")
+
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        folders = self._version()[name]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _put(self, df: DataFrame, name: str) -> str:
+        folder = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        return folder
+
+    def index(self) -> PostingIndex:
+        version = self._version()
+        return PostingIndex(self.spark, version["index"], version["batches"])
+
     def memories(self) -> DataFrame:
-        return migrate(self.spark.read.parquet(f"{self.path}/memories"))
+        return migrate(self._table("memories", MEMORY))
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.schema(VECTOR).parquet(f"{self.path}/vectors")
+        return self._table("vectors", VECTOR)
 
     def health(self) -> dict:
         """Whether both tables can be read, and the version of Spark."""
         self.memories().limit(1).count(), self.vectors().limit(1).count()
         return {"status": "ok", "version": self.spark.version}
 
+    def _check(self, rows: DataFrame) -> None:
+        if "vector" in rows.columns and rows.filter(F.col("vector").isNotNull() & (F.size("vector") != self.dim)).limit(1).count():
+            raise ValueError(f"vectors need {self.dim} numbers")
+
+    def _identified(self, rows: DataFrame) -> DataFrame:
+        """Rows with their ids, new ones where they have none; written once, so that both tables get the same ids."""
+        r = rows.withColumn("id", F.coalesce(null_if_empty(F.col("id")) if "id" in rows.columns else F.lit(None), F.expr("uuid()")))
+        folder = self._put(r, "incoming")
+        r = self.spark.read.schema(r.schema).parquet(folder)
+        if r.groupBy("id").count().filter("count > 1").limit(1).count():
+            raise ValueError("an id exists already")
+        return r
+
+    def _appended(self, r: DataFrame, version: dict) -> dict:
+        """The version with rows (with ids) appended to both tables and the index."""
+        batch = _next_batch(version)
+        out = version | {"version": version["version"] + 1, "batches": [*version["batches"], batch], "memories": [*version["memories"], self._put(insert_defaults(r, self._now()), "memories")]}
+        if "vector" in r.columns:
+            v = r.filter("vector IS NOT NULL").select(F.col("id").alias("memory_id"), normalize(F.col("vector")).cast("array<float>").alias("vector"), F.lit(self.dim).alias("dimension"))
+            out["vectors"] = [*version["vectors"], self._put(v, "vectors")]
+        PostingIndex(self.spark, version["index"]).add(r.select("id", "text"), batch)
+        return out
+
+    def _without(self, ids: DataFrame, version: dict) -> dict:
+        """The version with ids removed from both tables and the index."""
+        batch = _next_batch(version)
+        PostingIndex(self.spark, version["index"]).remove(ids.select("id"), batch)
+        return version | {
+            "version": version["version"] + 1, "batches": [*version["batches"], batch], "memories": [self._put(without(self.memories(), ids, "id"), "memories")], "vectors": [self._put(without(self.vectors(), ids, "memory_id"), "vectors")],
+        }
+
     def insert(self, rows: DataFrame) -> None:
         """Append rows (with an optional column vector); ids that exist raise, nothing is written then."""
-        has_vec = "vector" in rows.columns
-        if has_vec and rows.filter(F.col("vector").isNotNull() & (F.size("vector") != self.dim)).limit(1).count():
-            raise ValueError(f"vectors need {self.dim} numbers")
-        r = rows.withColumn("id", F.coalesce(null_if_empty(F.col("id")) if "id" in rows.columns else F.lit(None), F.expr("uuid()"))).persist()
-        try:
-            if r.join(self.memories().select("id"), "id", "left_semi").limit(1).count() or r.groupBy("id").count().filter("count > 1").limit(1).count():
-                raise ValueError("an id exists already")
-            insert_defaults(r, self._now()).write.mode("append").parquet(f"{self.path}/memories")
-            if has_vec:
-                v = r.filter("vector IS NOT NULL").select(F.col("id").alias("memory_id"), normalize(F.col("vector")).cast("array<float>").alias("vector"), F.lit(self.dim).alias("dimension"))
-                v.write.mode("append").parquet(f"{self.path}/vectors")
-        finally:
-            r.unpersist()
+        self._check(rows)
+        r = self._identified(rows)
+        if r.join(self.memories().select("id"), "id", "left_semi").limit(1).count():
+            raise ValueError("an id exists already")
+        self._publish(self._appended(r, self._version()))
 
     def get(self, id: str) -> DataFrame:
         return self.memories().filter(F.col("id") == id).join(self.vectors().select(F.col("memory_id").alias("id"), "vector"), "id", "left")
@@ -174,17 +227,21 @@ class MemoryStore:
         return self.memories().filter(F.col("id") == id).select("text")
 
     def delete(self, ids: DataFrame) -> None:
-        """Remove ids from both tables: written aside first, then swapped in."""
-        for name, key, df in (("memories", "id", self.memories()), ("vectors", "memory_id", self.vectors())):
-            kept = without(df, ids, key)
-            kept.write.mode("overwrite").parquet(f"{self.path}/.{name}-kept")
-            self.spark.read.schema(kept.schema).parquet(f"{self.path}/.{name}-kept").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """Remove ids from both tables and the index."""
+        self._publish(self._without(ids, self._version()))
 
     def update(self, rows: DataFrame) -> None:
-        rows = rows.persist()
-        self.delete(rows.select("id"))
-        self.insert(rows)
-        rows.unpersist()
+        """Replace rows by their ids, in one version."""
+        self._check(rows)
+        r = self._identified(rows)
+        self._publish(self._appended(r, self._without(r.select("id"), self._version())))
+
+    def compact(self) -> None:
+        """One folder for each table, and the index without what was removed."""
+        version = self._version()
+        target = f"{self.path}/index-{uuid.uuid4().hex}"
+        self.index().compact(target)
+        self._publish(version | {"version": version["version"] + 1, "memories": [self._put(self.memories(), "memories")], "vectors": [self._put(self.vectors(), "vectors")], "index": target})
 
     def list(self, scope: str, limit: int) -> DataFrame:
         return list_recent(self.memories().withColumn("ts", F.col("timestamp")), limit, [scope])
@@ -194,7 +251,7 @@ class MemoryStore:
 
     def search(self, query: str = "", vector: list[float] | None = None, path: str = "", limit: int = 10, scopes: list[str] | None = None) -> DataFrame:
         """Path search where a path is given, else hybrid, or text alone without a vector."""
-        if limit <= 0:
+        if limit <= 0 or (path and limit > 100):
             raise ValueError(f"invalid limit: {limit}")
         if not query and not vector:
             raise ValueError("both query vector and text are empty")
@@ -204,12 +261,26 @@ class MemoryStore:
         vecs = self.vectors().select(F.col("memory_id").alias("id"), "vector")
         if path:
             return path_search.path_search(q, allowed, vecs, self.dim, limit, self._now())
-        text = fulltext.search_text(docs, q).join(allowed.select("id"), "id")
+        special = is_phrase(F.col("query"))  # phrases need positions, which the index has not
+        text = self.index().search(q.filter(~special)).unionByName(fulltext.phrase_bm25(docs, q.filter(special))).join(allowed.select("id"), "id")
         if not vector:
             return fulltext.top_k(text, limit)
         near = vector_search.vector_topk(q, vecs.join(allowed.select("id"), "id"), self.dim, 2 * limit)
         return fusion.boost_fusion(near, fulltext.top_k(text, 2 * limit), limit)
 
+    def insert_json(self, rows_json: str) -> str:
+        """Insert a JSON list of rows; the number of rows as JSON."""
+        rows = json.loads(rows_json)
+        schema = T.StructType([*MEMORY.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
+        self.insert(self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema))
+        return json.dumps({"inserted": len(rows)})
+
+    def delete_json(self, ids_json: str) -> str:
+        """Delete a JSON list of ids."""
+        ids = json.loads(ids_json)
+        self.delete(self.spark.createDataFrame([(i,) for i in ids], "id string"))
+        return json.dumps({"deleted": len(ids)})
+
     def search_json(self, vector_json: str, limit: int, scopes_json: str = "[]") -> str:
         """The small facade for clients that speak JSON strings; at most ``limit`` rows are collected."""
         rows = self.search(vector=json.loads(vector_json), limit=limit, scopes=json.loads(scopes_json or "[]") or None)

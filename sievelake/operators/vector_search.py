@@ -20,7 +20,7 @@ from sievelake.operators.fulltext import top_k
 QUERY_BLOCK, ROWS, QUERIES = 4096, 4096, 512
 
 
-def _matrix(vectors) -> np.ndarray:
+def matrix(vectors) -> np.ndarray:
     x = np.array(list(vectors), np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -76,7 +76,7 @@ def vector_scores(queries: DataFrame, rows: DataFrame, dim: int, k: int, exclude
     out = None
     schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {rows.schema['id'].dataType.simpleString()}", "score double", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)])
     for block in query_blocks(queries):
-        held = spark.sparkContext.broadcast((block["query_id"].to_numpy(object), _matrix(block["vector"]) if len(block) else np.zeros((0, dim))))
+        held = spark.sparkContext.broadcast((block["query_id"].to_numpy(object), matrix(block["vector"]) if len(block) else np.zeros((0, dim))))
 
         def run(batches, held=held):
             qid, q = held.value
@@ -87,7 +87,7 @@ def vector_scores(queries: DataFrame, rows: DataFrame, dim: int, k: int, exclude
                 for name, grp in pdf.groupby(list(keep), dropna=False) if keep else [((), pdf)]:
                     for at in range(0, len(grp), ROWS):
                         part = grp.iloc[at : at + ROWS]
-                        x, ids = _matrix(part["vector"]).T, part["id"].to_numpy(object)
+                        x, ids = matrix(part["vector"]).T, part["id"].to_numpy(object)
                         for lo in range(0, len(qid), QUERIES):
                             some = np.arange(lo, min(lo + QUERIES, len(qid)))
                             s = q[some] @ x
@@ -131,7 +131,7 @@ def ivf_topk(queries: DataFrame, rows: DataFrame, dim: int, k: int, cells: int =
     def cell_of(m: int):
         @F.pandas_udf("array<int>")
         def near(v: pd.Series) -> pd.Series:
-            return pd.Series(list(np.argsort(-_matrix(v) @ centers.T, axis=1, kind="stable")[:, :m].astype(np.int32)))
+            return pd.Series(list(np.argsort(-matrix(v) @ centers.T, axis=1, kind="stable")[:, :m].astype(np.int32)))
 
         return near
 
@@ -140,7 +140,7 @@ def ivf_topk(queries: DataFrame, rows: DataFrame, dim: int, k: int, cells: int =
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series((_matrix(a) * _matrix(b)).sum(1))
+        return pd.Series((matrix(a) * matrix(b)).sum(1))
 
     hits = r.join(q, "cell").select("query_id", "id", score("qv", "vector").alias("score"))
     return top_k(hits.filter(F.col("query_id") != F.col("id")), k)

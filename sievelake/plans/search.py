@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievelake.functions import scoring, text as tx, vectors as vx
 from sievelake.operators import evaluation, fulltext, fusion, path_search as ps, quality, rerank as rr, retrieval, tree_search as ts, vector_search as vs
 from sievelake.operators.posting_index import PostingIndex
-from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, located, sql, top, vectors, whole
+from sievelake.plans.views import DIM, K, NOW, WORDS, cases, docs, example_vectors, examples, located, sql, top, vectors, whole
 from sievelake.session import cut, shared_dir
 from sievelake.sources.files import Settings
 from sievelake.sources.tables import table
@@ -46,9 +46,10 @@ def vector_topk_scoped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("SELECT * FROM (SELECT query_id, level, id, score, rank FROM lvec) WHERE rank <= 10", "lvec"))
 def level_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q = located(spark, sf).join(example_vectors(spark, sf), "query_id")
+    ex = examples(spark, sf)
+    q = cut(located(spark, sf, ex).join(example_vectors(spark, sf, ex), "query_id"))
     d = docs(spark, sf, "hierarchy_path")
-    return ps.level_hits(ps.level_vector_scores(q, d, vectors(spark, sf), DIM), d, q, K).select("query_id", "level", "id", "score", "rank")
+    return ps.level_vector_hits(q, d, vectors(spark, sf), DIM, K).select("query_id", "level", "id", "score", "rank")
 
 
 @query(sql(top("(SELECT vs.* FROM vs JOIN mem USING (id) WHERE hierarchy_path IS NULL)"), "vs", "mem"))
@@ -249,9 +250,10 @@ def memory_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _level_lists(spark, sf):
-    d, q = docs(spark, sf, "hierarchy_path"), located(spark, sf)
-    qv = q.join(example_vectors(spark, sf), "query_id")
-    return [ps.level_hits(ps.level_vector_scores(qv, d, vectors(spark, sf), DIM), d, qv, 2 * K), ps.level_hits(_text(spark, sf), d, q, 2 * K)]
+    ex = examples(spark, sf)
+    d, q = docs(spark, sf, "hierarchy_path"), located(spark, sf, ex)
+    qv = cut(q.join(example_vectors(spark, sf, ex), "query_id"))
+    return [ps.level_vector_hits(qv, d, vectors(spark, sf), DIM, 2 * K), ps.level_hits(_text(spark, sf), d, q, 2 * K)]
 
 
 @query(sql("SELECT query_id, id, round(max(score * weight), 6) AS score FROM lrrf GROUP BY ALL", "lrrf"))
@@ -279,7 +281,8 @@ _PATH = (
 
 @query(sql(_PATH, "lrrf", "vs", "bm", "qv", "mem"))
 def path_search(spark: SparkSession, sf: str) -> DataFrame:
-    q = located(spark, sf).join(example_vectors(spark, sf), "query_id", "left")
+    ex = examples(spark, sf)
+    q = cut(located(spark, sf, ex).join(example_vectors(spark, sf, ex), "query_id", "left"))
     return ps.path_search(q, docs(spark, sf, "text", "hierarchy_path", "importance", "ts"), vectors(spark, sf), DIM, K, NOW, match="any")
 
 

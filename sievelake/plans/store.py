@@ -144,12 +144,10 @@ def offline_queue(spark: SparkSession, sf: str) -> DataFrame:
 def _stream(spark, sf, name):
     path = f"{sf}/{name}.parquet"
     # a stream reads folders: the table's own where it is one, else its parent with the file's name as filter
-    r = spark.readStream.schema(spark.read.parquet(path).schema)
-    try:
-        is_dir = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory()
-    except Exception:
-        is_dir = False
-    return r.parquet(path) if is_dir else r.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    held = spark.read.parquet(path)
+    is_file = any(f.rstrip("/").endswith(f"/{name}.parquet") for f in held.inputFiles())
+    r = spark.readStream.schema(held.schema)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf) if is_file else r.parquet(path)
 
 
 @query("SELECT DISTINCT message_id AS id FROM captures WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10 ")

@@ -40,14 +40,14 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
     return cut(held.join(vectors(spark, sf).select("id"), "id").groupBy("query_id").agg(F.min("id").alias("id")))
 
 
-def example_vectors(spark: SparkSession, sf: str) -> DataFrame:
+def example_vectors(spark: SparkSession, sf: str, ex: DataFrame | None = None) -> DataFrame:
     """(query_id, vector) of the examples."""
-    return cut(examples(spark, sf).join(vectors(spark, sf), "id").select("query_id", "vector"))
+    return cut((ex or examples(spark, sf)).join(vectors(spark, sf), "id").select("query_id", "vector"))
 
 
-def located(spark: SparkSession, sf: str) -> DataFrame:
+def located(spark: SparkSession, sf: str, ex: DataFrame | None = None) -> DataFrame:
     """(query_id, query, path): cases asked from where their example lies; without one, from their own path."""
-    at = examples(spark, sf).join(docs(spark, sf, "hierarchy_path"), "id").select("query_id", "hierarchy_path")
+    at = (ex or examples(spark, sf)).join(docs(spark, sf, "hierarchy_path"), "id").select("query_id", "hierarchy_path")
     return cut(cases(spark, sf).join(at, "query_id", "left").select("query_id", "query", F.coalesce("hierarchy_path", "path").alias("path")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The parquet table at a path; None where there is no such path. Other errors are raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def seconds(ts: Column) -> Column:
     """Whole Unix seconds of a time written in seconds or milliseconds; 0 and null are unknown (null)."""
     s = F.when(F.abs(ts) >= MS_FROM, F.floor(ts / 1000)).otherwise(ts).cast("bigint")

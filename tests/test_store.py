@@ -166,3 +166,41 @@ def test_ingest_and_modes(spark, tmp_path):
     assert retrieval.retrieve(q, got, v, files.Settings(mode=2, dim=64, scopes=("none",))).count() == 0
     both = q.unionByName(q.select(F.lit(2).alias("query_id"), "query", F.lit("/a.md").alias("path"), "vector"))
     assert {r["query_id"] for r in retrieval.route(both, got.withColumn("ts", F.col("timestamp")), v, files.Settings(dim=64), 5).collect()} == {1, 2}
+
+
+def test_writes_are_whole(spark, tmp_path, monkeypatch):
+    """A write that fails before its version is out leaves nothing to be read, in the tables or the index; deletions reach all three."""
+    db = store.MemoryStore(spark, str(tmp_path / "db"), dim=2, now=1_700_000_000)
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, text string, scope string, vector array<float>")
+    found = lambda q: {r["id"] for r in db.search(query=q).collect()}
+    db.insert(rows(("a", "alpha beta", "global", [1.0, 0.0]), ("b", "beta gamma", "global", None), (None, "delta", "global", [0.0, 1.0])))
+    assert found("beta") == {"a", "b"} and found('"alpha beta"') == {"a"} and found("C++") == set()
+    ids = {r["id"] for r in db.memories().collect()}
+    assert len(ids) == 3 and {r["memory_id"] for r in db.vectors().collect()} <= ids
+    with monkeypatch.context() as m:
+        m.setattr(db, "_publish", lambda version: (_ for _ in ()).throw(OSError("lost")))
+        for write in (lambda: db.insert(rows(("x", "alpha", "global", None))), lambda: db.delete(spark.createDataFrame([("a",)], "id string"))):
+            with pytest.raises(OSError):
+                write()
+    assert found("alpha") == {"a"} and db.get("x").count() == 0
+    db.insert(rows(("c", "alpha", "global", None)))
+    assert found("alpha") == {"a", "c"}
+    db.delete(spark.createDataFrame([("a",)], "id string"))
+    assert found("alpha") == {"c"} and db.vectors().filter("memory_id = 'a'").count() == 0
+    db.update(rows(("b", "alpha omega", "global", None)))
+    assert found("alpha") == {"b", "c"} and found("gamma") == set()
+    db.compact()
+    assert found("alpha") == {"b", "c"} and store.MemoryStore(spark, str(tmp_path / "db"), dim=2).memories().count() == 3
+    assert db.insert_json('[{"id": "j", "text": "json alpha", "scope": "global"}]') == '{"inserted": 1}'
+    assert db.delete_json('["c"]') == '{"deleted": 1}' and found("alpha") == {"b", "j"}
+
+
+def test_unreadable_tables_raise(spark, tmp_path):
+    """Only a missing table counts as empty."""
+    from sievelake.operators.posting_index import PostingIndex
+
+    (tmp_path / "ix" / "docs").mkdir(parents=True)
+    (tmp_path / "ix" / "docs" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        PostingIndex(spark, str(tmp_path / "ix")).docs().count()
+    assert PostingIndex(spark, str(tmp_path / "none")).docs().count() == 0
