@@ -123,6 +123,15 @@ def sql() -> dict[str, str]:
             "c AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS common FROM t a JOIN t b ON a.word = b.word AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL) "
             "SELECT id_a, id_b FROM c WHERE 10 * common >= 7 * (na + nb - common)"
         ),
+        "p2_groups": (
+            f"WITH RECURSIVE m AS (SELECT id, any_value(text) AS text FROM memories WHERE source_file <> '' AND id IS NOT NULL GROUP BY id), "
+            f"s AS (SELECT id, list_sort(list_distinct({_WORDS.format('text')})) AS w FROM m), k AS (SELECT w, min(id) AS rep FROM s WHERE len(w) > 0 GROUP BY w), "
+            "t AS (SELECT rep, len(w) AS n, unnest(w) AS word FROM k), "
+            "c AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS common FROM t a JOIN t b ON a.word = b.word AND a.rep <> b.rep AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL), "
+            "e AS (SELECT a, b FROM c WHERE 10 * common >= 7 * (na + nb - common)), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b), "
+            "g AS (SELECT a AS rep, min(b) AS low FROM reach GROUP BY a), d AS (SELECT a AS rep, count(*) AS links FROM e GROUP BY a) "
+            "SELECT s.id, least(k.rep, coalesce(low, k.rep)) AS group_id, coalesce(links, 0) AS links FROM s JOIN k USING (w) LEFT JOIN g ON g.rep = k.rep LEFT JOIN d ON d.rep = k.rep"
+        ),
         "p3_found": (
             "WITH v AS (SELECT memory_id, any_value(vector::DOUBLE[128]) AS v FROM vectors WHERE len(vector) = 128 AND len([x FOR x IN vector IF NOT isfinite(x)]) = 0 AND len([x FOR x IN vector IF x <> 0]) > 0 GROUP BY memory_id), "
             "s AS (SELECT a.memory_id AS a, b.memory_id AS b, array_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.memory_id <> b.memory_id), "
