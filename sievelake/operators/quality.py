@@ -78,7 +78,7 @@ def mmr(candidates: DataFrame, k: int = 10, trade: float = 0.7) -> DataFrame:
         sim, score, left, took = x @ x.T, pdf["score"].to_numpy(), list(range(len(pdf))), []
         while left and len(took) < k:
             gain = [trade * score[i] - (1 - trade) * (max(sim[i, j] for j in took) if took else 0.0) for i in left]
-            took.append(left.pop(int(np.argmax(gain))))
+            took.append(left.pop(int(np.argmax(np.round(gain, 9)))))
         return pd.DataFrame({"query_id": key[0], "id": pdf["id"].iloc[took].to_numpy(), "rank": range(1, len(took) + 1)})
 
     return candidates.select("query_id", "id", "score", "vector").groupBy("query_id").applyInPandas(run, f"query_id {kind}, id string, rank int")

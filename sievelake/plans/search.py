@@ -218,6 +218,45 @@ def corpus_size(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.corpus_size(docs(spark, sf, "text")).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+@query(sql("SELECT query_id, id, rank, hits FROM (SELECT bm.query_id, bm.id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS hits FROM bm) JOIN ex USING (query_id, id)", "bm", "ex"))
+def rank_of_example(spark: SparkSession, sf: str) -> DataFrame:
+    """At which place of its text hits a case's example stands."""
+    hits, ex = cut(_text(spark, sf).withColumn("score", F.round("score", 6))), examples(spark, sf)
+    own = hits.join(ex, ["query_id", "id"]).select("query_id", F.col("id").alias("own_id"), F.col("score").alias("own"))
+    # counted, not ranked: no list is brought together for it
+    before = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("id") <= F.col("own_id")))
+    return hits.join(own, "query_id").groupBy("query_id", F.col("own_id").alias("id")).agg(F.count(F.when(before, 1)).alias("rank"), F.count("*").alias("hits"))
+
+
+_STATED = "('0x' || substr(md5(a.id), 1, 8))::UBIGINT % 50 = 0"
+
+
+@query(sql(f"SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM vec a JOIN vec b ON a.id <> b.id AND {_STATED} WHERE list_cosine_similarity(a.v, b.v) > 0.98", "vec"))
+def near_dup_memories(spark: SparkSession, sf: str) -> DataFrame:
+    """Memories within a cosine of 0.98 of the stated query rows, those whose digest is divisible by 50: what a store would refuse as near-duplicates."""
+    v = vectors(spark, sf)
+    q = v.filter(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % 50 == 0).withColumnRenamed("id", "query_id")
+    return vs.vector_scores(q, v, DIM, 0, exclude_self=True, least=0.98).filter("score > 0.98").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(sql("SELECT id, round(u[1] / n, 6) AS first, round(u[128] / n, 6) AS last FROM (SELECT id, u, sqrt(list_sum([x * x FOR x IN u])) AS n FROM (SELECT id, [(round((x / m) * 127) + 128 - 128) / 128e0 FOR x IN v] AS u FROM (SELECT id, v, list_max([abs(x) FOR x IN v]) AS m FROM vec)))", "vec"))
+def vector_dequantize(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors to unsigned bytes, scaled by their largest number, and back to unit length."""
+    scaled = cut(vectors(spark, sf).select("id", "vector", F.array_max(F.transform(vx.doubles(F.col("vector")), lambda x: F.abs(x))).alias("m")))
+    u8 = F.transform(vx.doubles(F.col("vector")), lambda x: (F.round(x / F.col("m") * 127) + 128).cast("int"))
+    back = cut(scaled.select("id", u8.alias("u8"))).select("id", vx.dequantize(F.col("u8")).alias("u"))
+    return back.select("id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", 128), 6).alias("last"))
+
+
+@query(sql(f", c AS ({top('(SELECT query_id, id, round(score, 5) AS score FROM bm)', 50)}), x AS (SELECT c.query_id, c.id, 0.7e0 * c.score + 0.3e0 * coalesce(vs.score, 0) AS score FROM c LEFT JOIN vs ON vs.query_id = c.query_id AND vs.id = c.id) {top('x')}", "bm", "vs"))
+def rerank_by_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Text hits reranked by the cosine of their vectors with the case's, where no reranker is to be had; a missing vector counts as 0."""
+    cand = fulltext.top_k(_text(spark, sf).withColumn("score", F.round("score", 5)), rr.CANDIDATES)
+    with_q = cand.join(example_vectors(spark, sf).withColumnRenamed("vector", "qv"), "query_id", "left").join(vectors(spark, sf), "id", "left")
+    cos = F.coalesce(vx.cosine(F.col("qv"), F.col("vector")), F.lit(0.0))
+    return fulltext.top_k(with_q.select("query_id", "id", rr.cosine_fallback(F.col("score"), cos).alias("score")), K)
+
+
 def _lists(spark, sf):
     return vs.vector_topk(example_vectors(spark, sf), _rows(spark, sf), DIM, 2 * K), fulltext.top_k(_text(spark, sf), 2 * K)
 
@@ -355,7 +394,13 @@ def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
     return rr.rerank(_text(spark, sf).withColumn("score", F.round("score", 5)), cases(spark, sf), docs(spark, sf, "text"))
 
 
-@query()
+@query(sql(
+    f", near AS ({top('vs', 50)}), c AS (SELECT near.*, v FROM near JOIN vec USING (id)), sims AS (SELECT a.query_id, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM c a JOIN c b ON a.query_id = b.query_id), "
+    "r AS (SELECT query_id, id, [id] AS took, 1 AS rank FROM c WHERE rank = 1 UNION ALL "
+    "SELECT query_id, id, list_append(took, id), rank + 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(gain, 9) DESC, place) AS n FROM ("
+    "SELECT r.query_id, r.took, r.rank, c.id, c.rank AS place, 0.7e0 * c.score - 0.3e0 * max(s.sim) AS gain FROM r JOIN c ON c.query_id = r.query_id AND NOT list_contains(r.took, c.id) JOIN sims s ON s.query_id = r.query_id AND s.a = c.id AND list_contains(r.took, s.b) "
+    "WHERE r.rank < 10 GROUP BY r.query_id, r.took, r.rank, c.id, c.rank, c.score)) WHERE n = 1) SELECT query_id, id, rank FROM r", "vs", "vec",
+).replace("WITH ", "WITH RECURSIVE ", 1))
 def mmr(spark: SparkSession, sf: str) -> DataFrame:
     near = vs.vector_topk(example_vectors(spark, sf), _rows(spark, sf), DIM, 50)
     return quality.mmr(near.join(vectors(spark, sf), "id"), K)
@@ -385,12 +430,27 @@ def mode_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return _mode(spark, sf, 2)
 
 
-@query()
+_HYBRID = f", a AS ({top(_ALLOWED.format('vs'), 20)}), b AS ({top(_ALLOWED.format('bm'), 20)}), {_FUSE}, plain AS ({top('f')})"
+_RERANKED = (
+    f", wa AS ({top(_ALLOWED.format('vs'), 100)}), wb AS ({top(_ALLOWED.format('bm'), 100)}), w{_FUSE.replace('FROM a FULL JOIN b', 'FROM wa a FULL JOIN wb b')}, wide AS ({top('wf', 50)}), "
+    f"qw AS (SELECT item_id AS query_id, list_distinct({WORDS.format('query')}) AS qw FROM eval_cases), "
+    f"x AS (SELECT query_id, id, score, trim(text) <> '' AS ok, len([t FOR t IN qw IF list_contains({WORDS.format('text')}, t)]) / nullif(len(qw), 0)::DOUBLE AS r FROM wide JOIN mem USING (id) JOIN qw USING (query_id)), "
+    "blended AS (SELECT query_id, id, CASE WHEN NOT ok THEN score WHEN r IS NULL THEN score * 0.8e0 ELSE greatest(0.6e0 * r + 0.4e0 * score, 0.5e0 * score) END AS score FROM x), "
+    f"reranked AS ({top('blended')})"
+)
+
+
+@query(sql(_RERANKED + " SELECT query_id, id, rank, floor(score * 1000) / 1000 AS score FROM reranked", "vs", "bm", "mem"))
 def mode_reranked(spark: SparkSession, sf: str) -> DataFrame:
-    return _mode(spark, sf, 3)
+    """The ten best after reranking; scores cut to three digits, because the blend of six-digit scores is often a tie in the sixth."""
+    return _mode(spark, sf, 3).select("query_id", "id", "rank", (F.floor(F.col("score") * 1000) / 1000).alias("score"))
 
 
-@query()
+def _precision_sql(name: str) -> str:
+    return f"SELECT item_id AS query_id, CASE WHEN k > 0 THEN round(coalesce(sum(CASE WHEN len([t FOR t IN expected_terms IF contains(lower(text), lower(t))]) > 0 AND rank <= k THEN 1 ELSE 0 END), 0) / k::DOUBLE, 6) ELSE 0e0 END AS precision FROM eval_cases LEFT JOIN ({name} JOIN mem USING (id)) ON query_id = item_id GROUP BY item_id, k"
+
+
+@query(sql(_HYBRID + _RERANKED + f" SELECT p.query_id, p.precision AS plain, r.precision AS reranked, round(r.precision - p.precision, 6) AS gain FROM ({_precision_sql('plain')}) p JOIN ({_precision_sql('reranked')}) r USING (query_id)", "vs", "bm", "mem"))
 def rerank_effect(spark: SparkSession, sf: str) -> DataFrame:
     """Precision of every case without and with reranking."""
     d, c = docs(spark, sf, "text"), cases(spark, sf)

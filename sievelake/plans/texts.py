@@ -33,7 +33,8 @@ def _distances(spark, sf):
     return chunking.adjacent_distances(docs(spark, sf, "source_file", "chunk_index").join(vectors(spark, sf), "id"))
 
 
-_EST = rf"CAST(floor((len(regexp_extract_all({{0}}, '[{tx.CJK}]')) * 15 + len(regexp_extract_all({{0}}, '[^{tx.CJK}{tx.SPACE}\p{{P}}]+')) * 13) / 10) AS INTEGER)"
+_WEIGHT = rf"(len(regexp_extract_all({{0}}, '[{tx.CJK}]')) * 15 + len(regexp_extract_all({{0}}, '[^{tx.CJK}{tx.SPACE}\p{{P}}]+')) * 13)"
+_EST = f"CAST(floor({_WEIGHT} / 10) AS INTEGER)"
 
 
 def _est(c: str) -> str:
@@ -58,13 +59,34 @@ def split_headings(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.sections(_documents(spark, sf).filter("text IS NOT NULL"))
 
 
-@query()
+_PACK = (
+    r"WITH RECURSIVE p AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS t FROM (SELECT doc_id, [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(text, chr(10) || chr(10))] AS ps FROM documents)) WHERE t <> ''), "
+    + f"q AS (SELECT *, {_WEIGHT.replace('{0}', 't')} AS w FROM p), "
+    + "r AS (SELECT doc_id, i, t, w, 0 AS piece FROM q WHERE i = 1 UNION ALL SELECT q.doc_id, q.i, q.t, CASE WHEN (r.w + q.w) // 10 > 128 THEN q.w ELSE r.w + q.w END, r.piece + CASE WHEN (r.w + q.w) // 10 > 128 THEN 1 ELSE 0 END FROM r JOIN q ON q.doc_id = r.doc_id AND q.i = r.i + 1) "
+    + "SELECT doc_id, CAST(piece AS INTEGER) AS \"at\", string_agg(t, chr(10) || chr(10) ORDER BY i) AS content FROM r GROUP BY doc_id, piece"
+)
+
+
+@query(_PACK)
 def paragraph_pack(spark: SparkSession, sf: str) -> DataFrame:
     d = _documents(spark, sf)
     return d.select("doc_id", F.posexplode(tx.pack_paragraphs(F.col("text"), 128)).alias("at", "content"))
 
 
-@query()
+_S = r"[\s\p{Z}\x{85}]"
+_ENDS, _TAIL = "[!?;。！？；]", "[" + chunking.ENDS.replace("'", "''") + "\\]" + chunking.CLOSERS.replace("]", "").replace("'", "''") + "]*"
+_SHORT = rf"'(^|[^\p{{L}}])((?i:{'|'.join(sorted(chunking.ABBREVIATIONS))})|\p{{Lu}})\.({_S}|$)', '\1\2' || chr(2) || '\3', 'g'"
+
+
+def _sentences(text: str) -> str:
+    """A list of sentences: ends are marked, full stops of abbreviations and initials hidden first."""
+    e = f"regexp_replace(regexp_replace(coalesce({text}, ''), {_SHORT}), {_SHORT})"
+    e = f"regexp_replace({e}, '({_ENDS}{_TAIL})', '\\1' || chr(1), 'g')"
+    e = f"regexp_replace({e}, '([.…])({_S}|$)', '\\1' || chr(1) || '\\2', 'g')"
+    return f"[s FOR s IN [regexp_replace(replace(x, chr(2), '.'), '^{_S}+|{_S}+$', '', 'g') FOR x IN string_split({e}, chr(1))] IF s <> '']"
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(len(ss))) AS INTEGER) AS at, unnest(ss) AS sentence FROM (SELECT doc_id, {_sentences('text')} AS ss FROM documents)")
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", F.posexplode(chunking.sentences("text")).alias("at", "sentence"))
 
@@ -79,7 +101,9 @@ def semantic_split(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.semantic_split(_documents(spark, sf))
 
 
-@query()
+@query(
+    f"SELECT doc_id, CAST(n // 4 AS INTEGER) AS window, array_to_string(ss[n + 1:n + 5], ' ') AS content FROM (SELECT doc_id, ss, unnest(range(0, greatest(len(ss) - 2, 0) + 1, 4)) AS n FROM (SELECT doc_id, {_sentences('text')} AS ss FROM documents) WHERE len(ss) > 0)"
+)
 def overlap_windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.overlapping(_documents(spark, sf), 5, 1)
 
@@ -115,7 +139,17 @@ def l0_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", tx.l0_by_rule(F.col("text")).alias("abstract"))
 
 
-@query()
+def _l1(text: str) -> str:
+    marked = rf"regexp_replace(regexp_replace({text}, '([。！？])', '\1' || chr(1), 'g'), '([.!?])([\s\p{{Z}}])', '\1' || chr(1) || '\2', 'g')"
+    head = f"CASE WHEN len(string_split({marked}, chr(1))) > 5 THEN array_to_string(string_split({marked}, chr(1))[1:5], '') ELSE {text} END"
+    cut_head = f"[CASE WHEN strlen(h) >= 500 THEN left(h, [i FOR i IN range(1, 501) IF strlen(left(h, i)) >= 500][1]) ELSE h END FOR h IN [{head}]][1]"
+    return rf"[CASE WHEN t = '' THEN left({text}, 500) ELSE t END FOR t IN [regexp_replace({cut_head}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')]][1]"
+
+
+_L0 = r"CASE WHEN contains({0}, '。') THEN regexp_extract({0}, '(?s)^(.*?。)', 1) WHEN regexp_matches({0}, '(?s)^..*?[.!?](?:\s|\z)') THEN regexp_extract({0}, '(?s)^(..*?[.!?])(?:\s|\z)', 1) ELSE left({0}, 80) END"
+
+
+@query(f"SELECT doc_id, {_l1('t')} AS overview FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def l1_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", summaries.l1_by_rule(F.coalesce("text", F.lit(""))).alias("overview"))
 
@@ -128,7 +162,7 @@ def summary_cache_join(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("k")).distinct().join(cache, "k").select("id", "summary")
 
 
-@query()
+@query(sql(f", t AS (SELECT id, coalesce(text, '') AS t, abstract FROM mem), c AS (SELECT t, min(abstract) AS summary FROM t WHERE abstract <> '' GROUP BY t) SELECT id, coalesce(summary, {_L0.replace('{0}', 't.t')}) AS abstract, {_l1('t.t')} AS overview FROM t LEFT JOIN c ON c.t = t.t", "mem"))
 def summarized(spark: SparkSession, sf: str) -> DataFrame:
     m = docs(spark, sf, "text", "abstract")
     cache = m.filter(F.col("abstract") != "").select(summaries.content_key(F.col("text"), 0).alias("key"), F.col("abstract").alias("summary"))
