@@ -1,7 +1,7 @@
 """References to records that do not exist.
 
-Keys are range-partitioned by boundaries from their quantiles (at most MAX_RANGES numbers
-on the driver). Each range's keys are one sorted array with their times; batches of
+Keys are range-partitioned by boundaries from their quantiles (at most MAX_RANGES strings
+on the driver, from a sample of about 40 keys for each). Each range's keys are one sorted array with their times; batches of
 references are probed by binary search. Ranges that many references hit are split: their
 references are dealt to parts of about REFS_EACH and the range's array is repeated for
 each part, so no task holds more than one range and one part of its references.
@@ -47,24 +47,22 @@ def failing_references(refs: DataFrame, keys: DataFrame, gone: DataFrame) -> Dat
     both = have.unionByName(dead).groupBy("id").agg(F.max("ts").alias("ts"), F.max("live").alias("live"))
     n = keys.count()
     ranges = min(MAX_RANGES, max(1, math.ceil(n / KEYS_EACH)))
-    # string quantiles through a bounded sorted sample of key values: they only balance the ranges
-    drawn = keys.select("id").filter("id IS NOT NULL").sample(min(1.0, 40.0 * ranges / max(1, n) + 1e-9), seed=3).limit(80 * ranges) if ranges > 1 else None
+    # boundaries are quantiles of a Bernoulli sample of about 40 keys a range: they only balance the ranges
+    drawn = keys.select("id").filter("id IS NOT NULL").sample(min(1.0, 40.0 * ranges / max(1, n) + 1e-9), seed=3) if ranges > 1 else None
     some = sorted({r["id"] for r in drawn.collect()}) if drawn is not None else []
-    bounds = [some[i * len(some) // ranges] for i in range(1, ranges)] if len(some) >= ranges else []
+    bounds = sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []  # from what was drawn, even if it is less than the ranges
     find = _range_of(bounds)
 
     refs = refs.withColumn("range", find("target_id"))
     load = {r["range"]: r["count"] for r in refs.groupBy("range").count().collect()}  # one row for each range
     parts = [max(1, math.ceil(load.get(r, 0) / REFS_EACH)) for r in range(len(bounds) + 1)]
-    n_parts = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("range") + 1) if max(parts) > 1 and len(parts) <= 500 else None
-    if n_parts is None:
-        table = np.array(parts)
+    table = np.array(parts)
 
-        @F.pandas_udf("int")
-        def count_parts(r: pd.Series) -> pd.Series:
-            return pd.Series(table[r.to_numpy()].astype(np.int32))
+    @F.pandas_udf("int")
+    def count_parts(r: pd.Series) -> pd.Series:
+        return pd.Series(table[r.to_numpy()].astype(np.int32))
 
-        n_parts = count_parts("range") if max(parts) > 1 else F.lit(1)
+    n_parts = count_parts("range") if max(parts) > 1 else F.lit(1)
     dealt = refs.withColumn("part", F.pmod(F.xxhash64("ref_table", "ref_id", "target_id"), n_parts).cast("int"))
     held = both.withColumn("range", find("id")).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
 

@@ -52,11 +52,11 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"SELECT id, coalesce(text, '') AS text, nullif(abstract, '') AS abstract, coalesce(nullif(category, ''), 'other') AS category, coalesce(nullif(scope, ''), 'global') AS scope, coalesce(importance, 0.7e0) AS importance, coalesce(nullif(timestamp, 0), {NOW}) AS timestamp, "
-    "coalesce(nullif(metadata, ''), '{}') AS metadata, nullif(hierarchy_path, '') AS hierarchy_path, coalesce(hierarchy_level, 0) AS hierarchy_level, nullif(parent_id, '') AS parent_id, coalesce(nullif(node_type, ''), 'chunk') AS node_type, nullif(token_count, 0) AS token_count FROM memories"
+    f"SELECT id, coalesce(text, '') AS text, nullif(abstract, '') AS abstract, nullif(overview, '') AS overview, coalesce(nullif(category, ''), 'other') AS category, coalesce(nullif(scope, ''), 'global') AS scope, coalesce(importance, 0.7e0) AS importance, coalesce(nullif(timestamp, 0), {NOW}) AS timestamp, "
+    "coalesce(nullif(metadata, ''), '{}') AS metadata, nullif(hierarchy_path, '') AS hierarchy_path, coalesce(hierarchy_level, 0) AS hierarchy_level, nullif(parent_id, '') AS parent_id, coalesce(nullif(node_type, ''), 'chunk') AS node_type, nullif(source_file, '') AS source_file, coalesce(chunk_index, 0) AS chunk_index, nullif(token_count, 0) AS token_count FROM memories"
 )
 def insert_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    return store.insert_defaults(table(spark, sf, "memories"), NOW).drop("overview", "source_file", "chunk_index")
+    return store.insert_defaults(table(spark, sf, "memories"), NOW)
 
 
 @query("SELECT DISTINCT message_id AS id FROM captures WHERE message_id NOT IN (SELECT id FROM memories)")
@@ -76,10 +76,11 @@ def v2_projection(spark: SparkSession, sf: str) -> DataFrame:
     return store.as_v2(docs(spark, sf, "text", "abstract", "overview", "source_file"))
 
 
-@query("SELECT id, id <> '' AND id NOT IN ('search', 'stats') AND NOT regexp_matches(id, '[/\\\\.]') AS valid FROM (SELECT DISTINCT coalesce(source_file, id) AS id FROM memories)")
+@query("SELECT id, id <> '' AND id NOT IN ('search', 'stats') AND NOT regexp_matches(id, '[/\\\\.]') AS valid FROM (SELECT id FROM memories UNION SELECT source_file FROM memories WHERE source_file IS NOT NULL)")
 def valid_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Which ids and source files could stand in a request path."""
-    ids = table(spark, sf, "memories").select(F.coalesce("source_file", "id").alias("id")).distinct()
+    m = table(spark, sf, "memories")
+    ids = m.select("id").unionByName(m.filter("source_file IS NOT NULL").select(F.col("source_file").alias("id"))).distinct()
     return ids.select("id", store.valid_id(F.col("id")).alias("valid"))
 
 
@@ -158,6 +159,20 @@ def capture_stream(spark: SparkSession, sf: str) -> DataFrame:
     return capture.run_once(seen).select(F.col("message_id").alias("id"))
 
 
+@query(f"WITH {_MSG} SELECT DISTINCT platform, role, substring(text, 1, 100) AS head, coalesce(url, '') AS url FROM m")
+def capture_stream_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """What the running stream lets through by fingerprint, each once while the watermark of an hour remembers it."""
+    m = capture.deduplicated_stream(capture.fingerprinted(capture.messages(_stream(spark, sf, "captures"))))
+    return capture.run_once(m.select("platform", "role", F.substring("text", 1, capture.HEAD).alias("head"), F.coalesce("url", F.lit("")).alias("url")))
+
+
+@query(f"WITH {_MSG} SELECT platform, CAST(floor(timestamp / 3600000) * 3600 AS BIGINT) AS hour, count(*) AS messages, greatest(count(*) - 2, 0) AS refused FROM m GROUP BY ALL")
+def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that a limit of two an hour and platform would refuse."""
+    r = capture.rates(_messages(spark, sf), "1 hour")
+    return r.select("platform", F.unix_seconds("from").alias("hour"), "messages", F.greatest(F.col("messages") - 2, F.lit(0)).alias("refused"))
+
+
 @query("SELECT * FROM (SELECT event_type, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS start, count(*) AS events FROM events GROUP BY ALL) WHERE start + 600 <= (SELECT max(epoch(ts)) FROM events) - 600")
 def event_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that the watermark, ten minutes behind the last event, has closed, counted by the running stream; event_windows has the open ones, too."""
@@ -202,7 +217,10 @@ def importance_heuristic(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "captures").select("message_id", F.round(quality.importance_heuristic(F.col("text"), F.col("role")), 6).alias("importance"))
 
 
-@query("SELECT site, count(*) AS messages FROM (SELECT CASE WHEN h <> '' THEN array_to_string(string_split(h, '.')[-2:], '.') END AS site FROM (SELECT lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS h FROM captures)) GROUP BY site")
+_SUFFIX = ", ".join(f"'{x}'" for x in quality.SUFFIXES)
+
+
+@query(f"SELECT site, count(*) AS messages FROM (SELECT CASE WHEN h <> '' THEN array_to_string(CASE WHEN array_to_string(string_split(h, '.')[-2:], '.') IN ({_SUFFIX}) THEN string_split(h, '.')[-3:] ELSE string_split(h, '.')[-2:] END, '.') END AS site FROM (SELECT lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)) AS h FROM captures)) GROUP BY site")
 def site_scopes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "captures").groupBy(quality.site_scope(F.coalesce("url", F.lit(""))).alias("site")).agg(F.count("*").alias("messages"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,22 @@ def build_session(app: str = "sievelake", master: str | None = None, **conf: str
     }
     for k, v in (base | conf).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of a running session, once for each session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievelake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="sievelake-")  # the driver serves the archive from here as long as it runs
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{tmp}/sievelake", "zip", os.path.dirname(root), os.path.basename(root)))
+    sc._sievelake_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
