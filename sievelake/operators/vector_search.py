@@ -36,10 +36,12 @@ class Best:
 
     def add(self, queries: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
         """Scores s of some queries (rows) with ids (columns)."""
-        s6 = np.round(s, 6)
-        if s.shape[1] > self.k:
-            self.least[queries] = np.maximum(self.least[queries], np.partition(s6, -self.k, axis=1)[:, -self.k]) if len(set(ids)) == len(ids) else self.least[queries]
-        r, c = np.nonzero((s6 >= self.least[queries][:, None]) & np.isfinite(s))
+        # a margin for rounding: what is too much goes when the lists are pruned
+        near = s >= self.least[queries][:, None] - 1e-6
+        if s.shape[1] > self.k and near.sum() > 4 * self.k * len(s) and len(set(ids)) == len(ids):
+            self.least[queries] = np.maximum(self.least[queries], np.round(np.partition(s, -self.k, axis=1)[:, -self.k], 6))
+            near = s >= self.least[queries][:, None] - 1e-6
+        r, c = np.nonzero(near & np.isfinite(s))
         self.waiting.append((queries[r], ids[c], s[r, c]))
         self.held += len(r)
         if self.held > 4 * self.k * len(self.least) + 100_000:
